@@ -82,6 +82,7 @@ def slice_summary(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum(F.col("recall") * sup) / F.sum(sup)).alias("w_recall"),
         (F.sum(F.col("f1") * sup) / F.sum(sup)).alias("w_f1"),
         (F.sum("tp") / F.sum(sup)).alias("accuracy"),
+        F.sum("tp").alias("n_correct"),
         F.sum(sup).alias("support"))
 
 

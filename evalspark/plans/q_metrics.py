@@ -32,7 +32,8 @@ def summary_sql(stats: str, keys: list[str]) -> str:
 select {kc}avg(prec) as prec, avg(rec) as rec, avg(f1) as f1,
        avg(case when support > 0 then rec end) as bal,
        sum(prec * support) / sum(support) as w_prec, sum(rec * support) / sum(support) as w_rec,
-       sum(f1 * support) / sum(support) as w_f1, sum(tp) / sum(support) as acc, sum(support) as support
+       sum(f1 * support) / sum(support) as w_f1, sum(tp) / sum(support) as acc, sum(tp) as n_correct,
+       sum(support) as support
 from {stats} {gb}"""
 
 
