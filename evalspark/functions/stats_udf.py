@@ -1,0 +1,34 @@
+"""The one scalar the JVM cannot compute: the chi-square(1) upper tail.
+
+Spark SQL has no ``erf``; the p-value of McNemar's statistic is
+``erfc(sqrt(x / 2))``. It is applied to the per-pair result rows only (one
+row per model pair), through an Arrow-batched pandas UDF.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def chi2_1_sf_values(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    out = np.full(x.shape, np.nan)
+    ok = ~np.isnan(x)
+    out[ok] = _erfc(np.sqrt(np.maximum(x[ok], 0.0) / 2.0))
+    return out
+
+
+def _sf(x: pd.Series) -> pd.Series:
+    return pd.Series(chi2_1_sf_values(x.to_numpy(dtype=float, na_value=np.nan)))
+
+
+def chi2_1_sf(col) -> "F.Column":
+    """P(chi2 with 1 degree of freedom > x), as a pandas UDF column. The UDF
+    is built on use, so importing this module needs no session."""
+    return F.pandas_udf(_sf, "double")(col)
