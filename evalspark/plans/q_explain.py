@@ -1 +1,86 @@
-"""Registered queries."""
+"""Registered queries: explanations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalspark.functions.columns import hash_uniform, r6
+from evalspark.operators import explain as X
+from evalspark.operators import text as T
+from evalspark.plans.oracle import U, sql
+from evalspark.plans.q_text import TERMS, TF
+from evalspark.plans.registry import register
+from evalspark.sources.fixtures import Fixtures
+
+STRIPLOW = "lower(regexp_replace(token, '^\\s+|\\s+$', '', 'g'))"
+
+
+@register("X2_lime_top_words", sql(["fx_token_weights"], ("s", f"""
+select case when weight > 0 then 'positive' else 'negative' end as direction, {STRIPLOW} as word,
+       sum(abs(weight)) as t from fx_token_weights group by all"""), final="""
+select direction, word, round(t, 6) as total, rank from (
+  select *, row_number() over (partition by direction order by t desc, word) as rank from s) x where rank <= 20"""))
+def q_x2(spark, sf):
+    return X.lime_top_words(Fixtures(spark, sf).token_weights, 20)
+
+
+@register("X3_lime_digest", sql(["fx_token_weights"], final="""
+select row_id, token, round(weight, 6) as weight,
+       case when weight > 0 then 'Stereotype' else 'Non-Stereotype' end as direction, rank
+from (select *, row_number() over (partition by row_id order by abs(weight) desc, pos) as rank from fx_token_weights) x
+where rank <= 5"""))
+def q_x3(spark, sf):
+    return X.lime_digest(Fixtures(spark, sf).token_weights, 5)
+
+
+def _coef_col(term):
+    return F.lit(2.0) * hash_uniform(F.concat(F.lit("c:"), term)) - F.lit(1.0)
+
+
+@register("X4a_linear_shap", sql([], TERMS, TF, ("voc", """
+select term, count(*) as df from tf group by term order by sum(tf) desc, term limit 50000"""), ("w", """
+select tf.row_id, tf.term, tf.tf * (ln((1.0 + (select count(*) from documents)) / (1.0 + voc.df)) + 1.0) as w
+from tf join voc on tf.term = voc.term"""), ("x", """
+select row_id, term, w / sqrt(sum(w * w) over (partition by row_id)) as weight from w"""), ("cm", f"""
+select v.term, 2.0 * {U("concat('c:', v.term)")} - 1.0 as coef,
+       coalesce(m.mean, 0.0) as mean
+from voc v left join (select term, sum(weight) / (select count(*) from documents) as mean from x group by term) m
+  on m.term = v.term"""), ("pr", """
+select x.row_id, x.term, cm.coef * (x.weight - cm.mean) as phi, cm.coef * cm.mean as c_m
+from x join cm on x.term = cm.term"""), final="""
+select row_id, term, round(phi, 6) as phi from pr
+union all
+select d.doc_id, '<absent>', round(-((select sum(coef * mean) from cm) - coalesce(p.s, 0.0)), 6)
+from documents d left join (select row_id, sum(c_m) as s from pr group by row_id) p on p.row_id = d.doc_id"""))
+def q_x4a(spark, sf):
+    docs = Fixtures(spark, sf).table("documents").select(F.col("doc_id").alias("row_id"), "text")
+    feats = T.tfidf(docs, max_features=50_000).select("row_id", "term", "weight")
+    coef = T.vocabulary(T.term_counts(docs), 50_000).select("term", _coef_col(F.col("term")).alias("coef"))
+    out = X.linear_shap(feats, coef, docs.select("row_id"))
+    return out.select("row_id", "term", r6("phi").alias("phi"))
+
+
+def _scorer():
+    from evalspark.operators.models import lexicon_predictor_factory
+    return lexicon_predictor_factory()
+
+
+@register("X1_explain_lime")
+def q_x1(spark, sf):
+    """Rows-only: LIME weights of 3 samples from each of the 5 largest
+    groups, scored by the batch-scoring hook."""
+    from evalspark.operators.sample import sample_top_groups
+    s = sample_top_groups(Fixtures(spark, sf).samples, 5, 3)
+    return X.explain_lime(s.select("row_id", "text"), _scorer(), num_samples=1000, num_features=10)
+
+
+@register("X4b_explain_shap_sampled")
+def q_x4b(spark, sf):
+    from evalspark.operators.sample import sample_top_groups
+    s = sample_top_groups(Fixtures(spark, sf).samples, 5, 1)
+    return X.explain_shap_sampled(s.select("row_id", "text"), _scorer(), permutations=4)
+
+
+@register("X5_explain_by_group")
+def q_x5(spark, sf):
+    return X.explain_by_group(Fixtures(spark, sf).samples, _scorer(), 5, 3, num_samples=500)
