@@ -265,7 +265,9 @@ def compare_all(predictions: DataFrame, registry: DataFrame, reps: int = 2000, s
     observed F1 of both sides, bootstrap summary and verdict. A pair without
     common rows gets status 'no_common_rows' instead of failing the run."""
     tagged = tag_sides(predictions, registry, key)
-    cells = paired_cells(tagged, key, mode)
+    # The cells (<= pairs x labels^3 rows) feed three branches; an eager
+    # reliable checkpoint computes them in one pass over the predictions.
+    cells = paired_cells(tagged, key, mode).checkpoint()
     cont = mcnemar(paired_contingency(cells), with_p)
     f1 = paired_f1(cells)
     if method == "multinomial":

@@ -46,7 +46,8 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        from evalspark.sources.io import spread
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     @cached_property
     def samples(self) -> DataFrame:

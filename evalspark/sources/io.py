@@ -13,6 +13,20 @@ PREDICTIONS_SCHEMA = ("row_id long, text string, actual_label int, predicted_lab
                       "predicted_probability double, grp string, dataset_name string")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an under-split scan over the cluster's cores.
+
+    A single-file, single-row-group table scans as one task, and the
+    CPU-heavy work fused into the scan (hashing, regex tokenising) would run
+    on one core. Big inputs are many files or row groups and are returned
+    unchanged. Column pruning and filters still reach the scan below the
+    repartition."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_delimited(spark: SparkSession, path: str, schema: str = PAIRS_SCHEMA, sep: str = "\t",
                    header: bool = True) -> DataFrame:
     """Delimited text with quoted fields that may hold separators,
