@@ -114,3 +114,12 @@ select doc_id, replace(concat(lang, '/', source), '/', '_') as folder from docum
 def q_s8(spark, sf):
     d = _fx(spark, sf).table("documents")
     return d.select("doc_id", safe_partition_name(F.concat("lang", F.lit("/"), "source")).alias("folder"))
+
+
+@register("S3_read_predictions", sql([], final="""
+select doc_id, quality, toxic, 'quality_run' as model from labels
+union all select doc_id, quality, toxic, 'toxic_run' as model from labels"""))
+def q_s3(spark, sf):
+    """One result table per run, tagged with its name and unioned by column
+    name (both runs read the given labels table)."""
+    return IO.read_predictions(spark, {"quality_run": f"{sf}/labels.parquet", "toxic_run": f"{sf}/labels.parquet"})

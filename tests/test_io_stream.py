@@ -68,3 +68,26 @@ def test_stream_restart_processes_each_input_once(spark, tmpdir_fresh):
     assert first == 4
     assert res.count() == 6
     assert res.groupBy("row_id", "origin").count().where("count > 1").count() == 0
+
+
+def test_text_report_and_model_round_trip(spark, tmpdir_fresh):
+    from evalspark.operators import models as MD
+    reg = spark.createDataFrame([(1, "A", "B", "A vs B", "t")],
+                                "pair_id int, model_a string, model_b string, name string, category string")
+    p = spark.createDataFrame([(m, i, i % 2, (i + (m == "B") * (i % 3 == 0)) % 2) for m in "AB" for i in range(60)],
+                              "model string, row_id long, actual_label int, predicted_label int")
+    from evalspark.operators.compare import compare_all
+    lines = IO.comparison_report_lines(compare_all(p, reg, reps=100))
+    out = os.path.join(tmpdir_fresh, "report")
+    IO.write_text_report(lines, out, by=["pair_id"])
+    text = spark.read.text(os.path.join(out, "pair_id=1")).collect()
+    assert len(text) == 8 and text[0]["value"].startswith("Comparison: A vs B")
+    train = spark.createDataFrame([(i, "bad awful text" if i % 2 else "good nice text", i % 2) for i in range(40)],
+                                  "row_id long, text string, label_int int")
+    m = MD.fit_logreg(train, "label_int", "text", MD.LogRegConfig(max_iter=20, max_features=100))
+    path = os.path.join(tmpdir_fresh, "model")
+    MD.save_model(m, path)
+    a = MD.predict(m, train, keep=["row_id"]).orderBy("row_id").collect()
+    b = MD.predict(MD.load_model(path), train, keep=["row_id"]).orderBy("row_id").collect()
+    assert a == b
+    assert sum(r["predicted_label"] == (r["row_id"] % 2) for r in a) == 40
