@@ -55,7 +55,8 @@ def best_worst_groups(stats: DataFrame, k: int = 5, by: Sequence[str] = ("model"
     best = F.row_number().over(Window.partitionBy(*by).orderBy(v.desc(), F.col("grp").asc()))
     worst = F.row_number().over(Window.partitionBy(*by).orderBy(v.asc(), F.col("grp").desc()))
     ranked = stats.select("*", best.alias("_b"), worst.alias("_w"))
-    cols = [*by, "grp", F.col(value).alias("f1"), "accuracy", "n_examples", "n_errors"]
-    b = ranked.where(F.col("_b") <= k).select(F.lit("best").alias("side"), F.col("_b").alias("rank"), *cols)
-    w = ranked.where(F.col("_w") <= k).select(F.lit("worst").alias("side"), F.col("_w").alias("rank"), *cols)
-    return b.unionByName(w)
+    sides = F.explode(F.array(F.struct(F.lit("best").alias("side"), F.col("_b").alias("rank")),
+                              F.struct(F.lit("worst").alias("side"), F.col("_w").alias("rank"))))
+    x = ranked.select("*", sides.alias("_s")).where(F.col("_s.rank") <= k)
+    return x.select(F.col("_s.side").alias("side"), F.col("_s.rank").alias("rank"), *by, "grp",
+                    F.col(value).alias("f1"), "accuracy", "n_examples", "n_errors")

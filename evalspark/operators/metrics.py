@@ -150,13 +150,20 @@ def full_report(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> Da
     cells = _overall_cells(preds_or_cells, by)
     st = class_stats(cells, by)
     s = slice_summary(st, by)
-    cls = st.select(*by, F.col("label").cast("string").alias("row_name"), "precision", "recall", "f1", "support")
-    acc = s.select(*by, F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"), F.col("accuracy").alias("f1"), "support")
-    mac = s.select(*by, F.lit("macro avg").alias("row_name"), "precision", "recall", "f1", "support")
-    wav = s.select(*by, F.lit("weighted avg").alias("row_name"), F.col("w_precision").alias("precision"),
-                   F.col("w_recall").alias("recall"), F.col("w_f1").alias("f1"), "support")
-    out = cls.unionByName(acc).unionByName(mac).unionByName(wav)
+    nul = F.lit(None).cast("double")
+    sup = F.col("support").cast("bigint")
+    # one row per model explodes into the three summary rows (no union of
+    # separately planned branches)
+    rows = F.array(
+        F.struct(F.lit("accuracy").alias("row_name"), nul.alias("precision"), nul.alias("recall"),
+                 F.col("accuracy").alias("f1"), sup.alias("support")),
+        F.struct(F.lit("macro avg").alias("row_name"), F.col("precision"), F.col("recall"), F.col("f1"),
+                 sup.alias("support")),
+        F.struct(F.lit("weighted avg").alias("row_name"), F.col("w_precision").alias("precision"),
+                 F.col("w_recall").alias("recall"), F.col("w_f1").alias("f1"), sup.alias("support")))
+    summ = s.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    cls = st.select(*by, F.col("label").cast("string").alias("row_name"), "precision", "recall", "f1", sup.alias("support"))
+    out = cls.unionByName(summ)
     return out.select(*by, "row_name", r6("precision").alias("precision"), r6("recall").alias("recall"),
                       r6("f1").alias("f1"), F.col("support").cast("bigint").alias("support"))
 
