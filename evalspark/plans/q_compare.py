@@ -14,18 +14,21 @@ from evalspark.sources.fixtures import Fixtures
 REPS_SQL = 100
 
 
-def paired_f1_sql(cells: str, keys: list[str]) -> list[tuple[str, str]]:
+def paired_f1_sql(cells: str, keys: list[str], prefix: str = "p") -> list[tuple[str, str]]:
+    """DuckDB: macro-F1 of side a and side b per key from paired cells; CTE
+    names start with ``prefix`` (the last one is ``{prefix}f1``)."""
     kc = "".join(f"{k}, " for k in keys)
     ks = keys + ["side"]
     return [
-        ("plong", f"""select {kc}actual_label, n, 'a' as side, pred_a as predicted_label from {cells}
+        (f"{prefix}long", f"""select {kc}actual_label, n, 'a' as side, pred_a as predicted_label from {cells}
                       where pred_a is not null and pred_b is not null and n > 0
                       union all
                       select {kc}actual_label, n, 'b' as side, pred_b as predicted_label from {cells}
                       where pred_a is not null and pred_b is not null and n > 0"""),
-        ("pst", class_stats_sql("plong", ks)), ("psum", summary_sql("pst", ks)),
-        ("pf1", f"""select {kc}max(case when side = 'a' then f1 end) as f1_a, max(case when side = 'b' then f1 end) as f1_b
-                    from psum group by {', '.join(keys)}"""),
+        (f"{prefix}st", class_stats_sql(f"{prefix}long", ks)), (f"{prefix}sum", summary_sql(f"{prefix}st", ks)),
+        (f"{prefix}f1", f"""select {kc}max(case when side = 'a' then f1 end) as f1_a,
+                               max(case when side = 'b' then f1 end) as f1_b
+                        from {prefix}sum group by {', '.join(keys)}"""),
     ]
 
 
@@ -34,15 +37,20 @@ select r.pair_id, a.row_id, a.actual_label, a.predicted_label as pred_a, b.predi
 from fx_registry r join fx_predictions a on a.model = r.model_a
 join fx_predictions b on b.model = r.model_b and b.row_id = a.row_id and b.actual_label = a.actual_label""")
 
-CONT = ("cont", """
+def _wsum(cond: str) -> str:
+    return f"cast(coalesce(sum(case when {cond} then al.n end), 0) as bigint)"
+
+
+# Aligned rows carry a multiplicity n (1 per row id, A x B combinations per text).
+CONT = ("cont", f"""
 select r.pair_id,
        (select count(*) from fx_predictions p where p.model = r.model_a) as n_a,
        (select count(*) from fx_predictions p where p.model = r.model_b) as n_b,
-       count(al.pair_id) as n_common,
-       count_if(pred_a = al.actual_label and pred_b = al.actual_label) as both_correct,
-       count_if(pred_a <> al.actual_label and pred_b <> al.actual_label) as both_wrong,
-       count_if(pred_a = al.actual_label and pred_b <> al.actual_label) as b,
-       count_if(pred_a <> al.actual_label and pred_b = al.actual_label) as c
+       cast(coalesce(sum(al.n), 0) as bigint) as n_common,
+       {_wsum("pred_a = al.actual_label and pred_b = al.actual_label")} as both_correct,
+       {_wsum("pred_a <> al.actual_label and pred_b <> al.actual_label")} as both_wrong,
+       {_wsum("pred_a = al.actual_label and pred_b <> al.actual_label")} as b,
+       {_wsum("pred_a <> al.actual_label and pred_b = al.actual_label")} as c
 from fx_registry r left join al on al.pair_id = r.pair_id group by r.pair_id, r.model_a, r.model_b""")
 
 MCN = ("mc", f"""
@@ -57,7 +65,7 @@ select al.*, cast(r.rep as integer) as rep,
        {U("concat_ws(':', '42', cast(al.pair_id as varchar), cast(r.rep as varchar), cast(al.row_id as varchar))")} as u
 from al cross join range(0, {REPS_SQL}) r(rep)"""),
         ("bcells", f"""select pair_id, rep, actual_label, pred_a, pred_b, sum(n * ({_W})) as n from bx group by all""")]
-BOOT += [(n.replace("p", "b", 1) if False else n, b) for n, b in paired_f1_sql("bcells", ["pair_id", "rep"])]
+BOOT += paired_f1_sql("bcells", ["pair_id", "rep"])
 BOOT += [("deltas", "select pair_id, rep, f1_b - f1_a as delta_f1 from pf1")]
 
 SUMM = ("bs", """
@@ -156,15 +164,11 @@ from fx_registry r
 join (select model, text, actual_label, predicted_label as p, count(*) as c from fx_predictions group by all) a on a.model = r.model_a
 join (select model, text, actual_label, predicted_label as p, count(*) as c from fx_predictions group by all) b
   on b.model = r.model_b and b.text = a.text and b.actual_label = a.actual_label""")
-    cont = CONT if mode == "row_id" else ("cont", CONT[1].replace("count(al.pair_id) as n_common", "coalesce(sum(al.n), 0) as n_common")
-                                          .replace("count_if(", "sum_if(n, ").replace("sum_if(n, pred_a", "coalesce(sum(case when pred_a").replace(") as both", " then n end), 0) as both").replace(") as b,", " then n end), 0) as b,").replace(") as c\n", " then n end), 0) as c\n"))
     extra = []
     if mode == "row_id":
         extra = [*BOOT, SUMM]
-    return sql(["fx_predictions", "fx_registry"], aligned, cont, MCN,
-               *[(("f" + n) if n in ("plong", "pst", "psum", "pf1") else n,
-                  b.replace("plong", "fplong").replace("pst", "fpst").replace("psum", "fpsum"))
-                 for n, b in paired_f1_sql("al", ["pair_id"])], *extra, final=f"""
+    return sql(["fx_predictions", "fx_registry"], aligned, CONT, MCN,
+               *paired_f1_sql("al", ["pair_id"], prefix="f"), *extra, final=f"""
 select r.pair_id, r.model_a, r.model_b, r.name, r.category,
        case when coalesce(mc.n_common, 0) = 0 then 'no_common_rows' else 'ok' end as status,
        cast(mc.n_a as bigint) as n_a, cast(mc.n_b as bigint) as n_b, cast(mc.n_common as bigint) as n_common,
@@ -175,7 +179,7 @@ select r.pair_id, r.model_a, r.model_b, r.name, r.category,
        {f'''case when mc.chi2 > {CHI2_1_CRIT_05} and bs.ci_lower > 0 then 'B significantly better'
             when mc.chi2 > {CHI2_1_CRIT_05} and bs.ci_upper < 0 then 'A significantly better'
             else 'no significant difference' end as verdict''' if mode == "row_id" else ""}
-from fx_registry r left join mc on mc.pair_id = r.pair_id left join fpf1 f on f.pair_id = r.pair_id
+from fx_registry r left join mc on mc.pair_id = r.pair_id left join ff1 f on f.pair_id = r.pair_id
 {"left join bs on bs.pair_id = r.pair_id" if mode == "row_id" else ""}""")
 
 
