@@ -29,6 +29,9 @@ from evalspark.functions.columns import hash_uniform, r6, significance_stars, CH
 from evalspark.functions.stats_udf import chi2_1_sf
 from evalspark.operators.metrics import A, P, class_stats, slice_summary
 
+# Target number of bootstrap replicates computed per task.
+REPS_PER_TASK = 2000
+
 # Registries above this many pairs are joined by shuffle instead of broadcast.
 MAX_BROADCAST_PAIRS = 100_000
 
@@ -271,7 +274,12 @@ def compare_all(predictions: DataFrame, registry: DataFrame, reps: int = 2000, s
     cont = mcnemar(paired_contingency(cells), with_p)
     f1 = paired_f1(cells)
     if method == "multinomial":
-        deltas = bootstrap_delta_f1(cells, reps, seed)
+        # about REPS_PER_TASK replicate rows per task: tiny sweeps do not start
+        # a Python worker per shuffle partition, large ones spread out
+        n_pairs = registry.count()
+        max_parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(max_parts, -(-n_pairs * reps // REPS_PER_TASK)))
+        deltas = bootstrap_delta_f1(cells, reps, seed, partitions=parts)
     else:
         deltas = bootstrap_delta_f1_hash(aligned_rows(tagged, key, mode), reps, seed, key)
     summ = bootstrap_summary(deltas)
