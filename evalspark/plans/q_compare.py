@@ -236,3 +236,9 @@ select model, round(f1, 6) as macro_f1, round(round(f1, 6) - (select round(f1, 6
        round(f1, 6) - (select round(f1, 6) from s where model = 'A') < -0.01 as degraded from s"""))
 def q_c2(spark, sf):
     return C.ablation_deltas(_fx(spark, sf).predictions, "A", 0.01)
+
+
+@register("C8_verdict", f"select pair_id, verdict from ({_c9_sql('row_id')}) v")
+def q_c8(spark, sf):
+    """The combined McNemar + bootstrap-CI conclusion per pair."""
+    return q_c9(spark, sf).select("pair_id", "verdict")
