@@ -25,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.columns import hash_uniform, r6, significance_stars, CHI2_1_CRIT_05
+from evalspark.functions.columns import CHI2_1_CRIT_05, hash_uniform, r6, significance_stars
 from evalspark.functions.stats_udf import chi2_1_sf
 from evalspark.operators.metrics import A, P, class_stats, slice_summary
+from evalspark.session import reliable_checkpoint
 
 # Target number of bootstrap replicates computed per task.
 REPS_PER_TASK = 2000
@@ -270,7 +271,7 @@ def compare_all(predictions: DataFrame, registry: DataFrame, reps: int = 2000, s
     tagged = tag_sides(predictions, registry, key)
     # The cells (<= pairs x labels^3 rows) feed three branches; an eager
     # reliable checkpoint computes them in one pass over the predictions.
-    cells = paired_cells(tagged, key, mode).checkpoint()
+    cells = reliable_checkpoint(paired_cells(tagged, key, mode))
     cont = mcnemar(paired_contingency(cells), with_p)
     f1 = paired_f1(cells)
     if method == "multinomial":

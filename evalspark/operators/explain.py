@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import r6
+from evalspark.session import reliable_checkpoint
 
 # Word split of the perturbation explainers: runs of non-word characters.
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
@@ -160,7 +161,7 @@ def explain_lime(df: DataFrame, scorer, num_samples: int = 1000, num_features: i
     meta = s.select(key, "s", "_removed", "_kernel", "_feat", "_text")
     scores = _scorer_probs(scorer, meta.select(key, "s", "_text"), [key, "s"])
     scored = meta.drop("_text").join(scores, [key, "s"])
-    scored = scored.checkpoint()  # cut lineage: scoring is the expensive step
+    scored = reliable_checkpoint(scored)  # cut lineage: scoring is the expensive step
     schema = f"{key} long, pos int, token string, weight double"
     return scored.groupBy(key).applyInPandas(_lime_fit_fn(num_features, alpha, key), schema)
 
@@ -192,7 +193,7 @@ def explain_shap_sampled(df: DataFrame, scorer, permutations: int = 8, seed: int
     x = x.withColumn("_added", F.when(F.col("k") > 0, F.element_at("_perm", F.col("k"))))
     meta = x.select(key, "p", "k", "_added", "_feat", "_text")
     scores = _scorer_probs(scorer, meta.select(key, "p", "k", "_text"), [key, "p", "k"])
-    sc = meta.drop("_text").join(scores, [key, "p", "k"]).checkpoint()
+    sc = reliable_checkpoint(meta.drop("_text").join(scores, [key, "p", "k"]))
     w = Window.partitionBy(key, "p").orderBy("k")
     contrib = sc.withColumn("_delta", F.col("_score") - F.lag("_score").over(w)).where(F.col("k") > 0)
     phi = contrib.groupBy(key, "_added").agg(F.avg("_delta").alias("phi"))

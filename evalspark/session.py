@@ -55,3 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint dir (stream checkpoints, staged tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def reliable_checkpoint(df):
+    """Eager, reliable checkpoint into the shared checkpoint folder: the
+    result is written out and its lineage cut, so a lost executor does not
+    recompute the upstream plan. (Never a local checkpoint.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
