@@ -54,6 +54,14 @@ def main():
     def compare_all_2000():
         run(C.compare_all(fx.predictions3, fx.registry, reps=2000, method="multinomial", with_p=True))
 
+    def compare_8_pairs_2000():
+        # the shape of the reference's published run: eight paired comparisons,
+        # 2000 replicates each, on the labelled-sample predictions
+        pairs = [("A", "B"), ("A", "C"), ("B", "C"), ("B", "A"), ("C", "A"), ("C", "B"), ("A", "B"), ("B", "C")]
+        reg = spark.createDataFrame([(i + 1, a, b, f"{a} vs {b}", "bench") for i, (a, b) in enumerate(pairs)],
+                                    "pair_id int, model_a string, model_b string, name string, category string")
+        run(C.compare_all(fx.predictions, reg, reps=2000, method="multinomial", with_p=True))
+
     def compare_all_text_key():
         tagged = C.tag_sides(fx.predictions, fx.registry, "text")
         run(C.mcnemar(C.paired_contingency(C.paired_cells(tagged, "text", "text"))))
@@ -73,7 +81,8 @@ def main():
         run(E.error_summary_by_group(p))
 
     qs = {"metrics_by_group": metrics_by_group, "full_evaluation": full_evaluation,
-          "compare_all_2000": compare_all_2000, "compare_all_text_key": compare_all_text_key,
+          "compare_all_2000": compare_all_2000, "compare_8_pairs_2000": compare_8_pairs_2000,
+          "compare_all_text_key": compare_all_text_key,
           "tfidf_documents": tfidf_documents, "split_documents": split_documents, "error_suite": error_suite}
     times = {}
     for name, fn in qs.items():
