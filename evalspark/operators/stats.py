@@ -19,12 +19,12 @@ def _attach(rows: DataFrame, per_key: DataFrame, by: list[str], cols: list[str])
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """A1: count per value, ranked by (count desc, value). Null values are
-    left out, as in a pandas value count."""
+    """A1: count per value, ordered by (count desc, value) with a distributed
+    range sort (no single-partition ranking window). Null values are left
+    out, as in a pandas value count."""
     by = list(by)
     c = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col(col)))
-    return c.select(*by, F.col(col).alias("value"), "n", rank.alias("rank"))
+    return c.select(*by, F.col(col).alias("value"), "n").orderBy(*by, F.col("n").desc(), F.col("value"))
 
 
 def value_shares(df: DataFrame, col: str, top: int | None = None) -> DataFrame:

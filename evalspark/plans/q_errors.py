@@ -79,15 +79,13 @@ def q_a6(spark, sf):
 
 
 @register("A1_value_counts_label", sql(["fx_samples"], final="""
-select label as value, count(*) as n, row_number() over (order by count(*) desc, label) as rank
-from fx_samples where label is not null group by label"""))
+select label as value, count(*) as n from fx_samples where label is not null group by label"""))
 def q_a1(spark, sf):
     return S.value_counts(Fixtures(spark, sf).samples, "label")
 
 
 @register("A1_value_counts_group", sql(["fx_samples"], final="""
-select grp as value, count(*) as n, row_number() over (order by count(*) desc, grp) as rank
-from fx_samples where grp is not null group by grp"""))
+select grp as value, count(*) as n from fx_samples where grp is not null group by grp"""))
 def q_a1g(spark, sf):
     return S.value_counts(Fixtures(spark, sf).samples, "grp")
 
