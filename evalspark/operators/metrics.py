@@ -202,11 +202,15 @@ def confusion_matrix_normalized(preds_or_cells: DataFrame, by: Sequence[str] = (
     return m.select(*by, A, P, "n", r6(safe_div(F.col("n"), F.sum("n").over(w))).alias("row_share"))
 
 
-def confusion_matrix_wide(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """M2 as a pivot: one row per actual label, one column per predicted label."""
+def confusion_matrix_wide(preds_or_cells: DataFrame, by: Sequence[str] = ("model",),
+                          labels: Sequence | None = None) -> DataFrame:
+    """M2 as a pivot: one row per actual label, one column per predicted
+    label. Passing the labels avoids the extra job that finds them."""
     by = list(by)
     m = confusion_matrix(preds_or_cells, by)
-    return m.groupBy(*by, A).pivot(P).agg(F.first("n"))
+    g = m.groupBy(*by, A)
+    g = g.pivot(P, list(labels)) if labels is not None else g.pivot(P)
+    return g.agg(F.max("n"))
 
 
 def f1_per_class(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

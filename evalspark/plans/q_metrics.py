@@ -174,3 +174,14 @@ select round(prec, 6) as "precision", round(rec, 6) as recall, round(f1, 6) as f
        round(bal, 6) as balanced_accuracy from s"""))
 def q_m12(spark, sf):
     return M.eval_metrics(Fixtures(spark, sf).scores)
+
+
+@register("M2_confusion_matrix_wide", sql(["fx_predictions3"], *[
+    (n, b.replace("fx_predictions", "fx_predictions3")) for n, b in _M2_SQL], final="""
+select model, actual_label,
+       max(case when predicted_label = 0 then n end) as "0",
+       max(case when predicted_label = 1 then n end) as "1",
+       max(case when predicted_label = 2 then n end) as "2"
+from m group by model, actual_label"""))
+def q_m2w(spark, sf):
+    return M.confusion_matrix_wide(Fixtures(spark, sf).predictions3, labels=[0, 1, 2])
