@@ -1,6 +1,7 @@
 """Headline benchmark: prints one JSON line with per-query wall seconds.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_EVENT_LOG_DIR (optional: write Spark's event log there for stage times).
 Every query runs to completion through the ``noop`` sink (no collect), after
 one warm-up query so JVM start-up is not charged to the first query.
 """
@@ -33,8 +34,11 @@ def run(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, "evalspark-bench",
-                          {"spark.sql.shuffle.partitions": str(max(8, int(cpus) * 2))})
+    extra = {"spark.sql.shuffle.partitions": str(max(8, int(cpus) * 2))}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # stage and task times, written to a scratch folder
+    if log_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+    spark = local_session(cpus, "evalspark-bench", extra)
     fx = Fixtures(spark, sf_dir)
     run(fx.table("region"))  # warm-up
 
