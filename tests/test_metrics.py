@@ -88,3 +88,39 @@ def test_grouping_sets_single_exchange(spark):
     from evalspark.sources.fixtures import Fixtures
     plan = M.confusion_cells(Fixtures(spark, SF001).predictions)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" in plan
+
+
+def _np_macro(y, p):
+    import numpy as np
+    labels = np.union1d(y, p)
+    prec, rec, f1, present_rec = [], [], [], []
+    for c in labels:
+        tp = np.sum((y == c) & (p == c))
+        sup, prd = np.sum(y == c), np.sum(p == c)
+        prec.append(tp / prd if prd else 0.0)
+        rec.append(tp / sup if sup else 0.0)
+        f1.append(2 * tp / (sup + prd) if sup + prd else 0.0)
+        if sup:
+            present_rec.append(tp / sup)
+    return np.mean(prec), np.mean(rec), np.mean(f1), np.mean(present_rec)
+
+
+def test_hot_group_matches_independent_computation(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = 3000
+    grp = np.where(np.arange(n) < n // 3, "hot", np.array([f"g{i % 7}" for i in range(n)]))
+    y = rng.integers(0, 3, n)
+    p = np.where(rng.random(n) < 0.3, rng.integers(0, 3, n), y)
+    rows = [("m", i, "t", int(y[i]), int(p[i]), 0.5, str(grp[i]), "d") for i in range(n)]
+    df = spark.createDataFrame(rows, "model string, row_id long, text string, actual_label int, predicted_label int, "
+                                     "predicted_probability double, grp string, dataset_name string")
+    got = {r["grp"]: r for r in M.metrics_by_group(df.repartition(7)).collect()}
+    for g in np.unique(grp):
+        m = grp == g
+        pr, rc, f1, bal = _np_macro(y[m], p[m])
+        assert got[g]["precision"] == pytest.approx(pr, abs=1e-6)
+        assert got[g]["recall"] == pytest.approx(rc, abs=1e-6)
+        assert got[g]["f1"] == pytest.approx(f1, abs=1e-6)
+        assert got[g]["balanced_accuracy"] == pytest.approx(bal, abs=1e-6)
+        assert got[g]["support"] == int(m.sum())
