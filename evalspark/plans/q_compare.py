@@ -225,7 +225,7 @@ _AVG = [("cells", "select model, actual_label, predicted_label, count(*) as n fr
 
 
 @register("C1_compare_models", sql(["fx_predictions"], *_AVG, final="""
-select model, round(f1, 6) as macro_f1, row_number() over (order by round(f1, 6) desc, model) as rank,
+select model, round(f1, 6) as macro_f1, cast(row_number() over (order by round(f1, 6) desc, model) as integer) as rank,
        row_number() over (order by round(f1, 6) desc, model) = 1 as is_best from s"""))
 def q_c1(spark, sf):
     return C.compare_models(_fx(spark, sf).predictions)

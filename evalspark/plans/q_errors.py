@@ -45,9 +45,9 @@ def q_g3(spark, sf):
 @register("G4_best_worst_groups", sql(["fx_predictions"], *_G1, ("r", """
 select *, row_number() over (partition by model order by round(f1_macro, 9) desc, grp asc) as b,
           row_number() over (partition by model order by round(f1_macro, 9) asc, grp desc) as w from g1"""), final="""
-select 'best' as side, b as rank, model, grp, f1_macro as f1, accuracy, n_examples, n_errors from r where b <= 5
+select 'best' as side, cast(b as integer) as rank, model, grp, f1_macro as f1, accuracy, n_examples, n_errors from r where b <= 5
 union all
-select 'worst', w, model, grp, f1_macro, accuracy, n_examples, n_errors from r where w <= 5"""))
+select 'worst', cast(w as integer), model, grp, f1_macro, accuracy, n_examples, n_errors from r where w <= 5"""))
 def q_g4(spark, sf):
     return G.best_worst_groups(_g1(spark, sf), 5)
 
@@ -135,7 +135,7 @@ def q_j1(spark, sf):
 
 
 @register("E1_error_rate", sql(["fx_predictions"], final="""
-select model, count_if(actual_label <> predicted_label) as n_errors, count(*) as n_total,
+select model, cast(count_if(actual_label <> predicted_label) as bigint) as n_errors, count(*) as n_total,
        round(count_if(actual_label <> predicted_label) * 100.0 / count(*), 6) as error_pct
 from fx_predictions group by model"""))
 def q_e1(spark, sf):
@@ -169,7 +169,7 @@ def _e5_sql(fx):
                                 where actual_label <> predicted_label group by all"""), final="""
 select * from (select model, actual_label, predicted_label, n,
                       round(n * 100.0 / sum(n) over (partition by model), 6) as pct_of_errors,
-                      row_number() over (partition by model order by n desc, actual_label, predicted_label) as rank
+                      cast(row_number() over (partition by model order by n desc, actual_label, predicted_label) as integer) as rank
                from ec) x where rank <= 10""")
 
 
@@ -214,8 +214,8 @@ def q_e7(spark, sf):
     return E.fn_fp_distribution(Fixtures(spark, sf).predictions3, positive=1)
 
 
-_E8 = ("t", """select * from (select *, row_number() over (partition by model order by predicted_probability desc nulls last,
-                row_id) as rank from fx_predictions where actual_label <> predicted_label) x where rank <= {n}""")
+_E8 = ("t", """select * from (select *, cast(row_number() over (partition by model order by predicted_probability desc nulls last,
+                row_id) as integer) as rank from fx_predictions where actual_label <> predicted_label) x where rank <= {n}""")
 
 
 @register("E8_top_failures", sql(["fx_predictions"], (_E8[0], _E8[1].format(n=50)), final="select * from t"))
@@ -224,7 +224,7 @@ def q_e8(spark, sf):
 
 
 @register("E8_top_failures_no_probability", sql(["fx_predictions3"], ("t", """
-select * from (select *, row_number() over (partition by model order by row_id) as rank from fx_predictions3
+select * from (select *, cast(row_number() over (partition by model order by row_id) as integer) as rank from fx_predictions3
                where actual_label <> predicted_label) x where rank <= 100"""), final="select * from t"))
 def q_e8b(spark, sf):
     return E.top_failures(Fixtures(spark, sf).predictions3, 100)

@@ -19,7 +19,7 @@ STRIPLOW = "lower(regexp_replace(token, '^\\s+|\\s+$', '', 'g'))"
 select case when weight > 0 then 'positive' else 'negative' end as direction, {STRIPLOW} as word,
        sum(abs(weight)) as t from fx_token_weights group by all"""), final="""
 select direction, word, round(t, 6) as total, rank from (
-  select *, row_number() over (partition by direction order by t desc, word) as rank from s) x where rank <= 20"""))
+  select *, cast(row_number() over (partition by direction order by t desc, word) as integer) as rank from s) x where rank <= 20"""))
 def q_x2(spark, sf):
     return X.lime_top_words(Fixtures(spark, sf).token_weights, 20)
 
@@ -27,7 +27,7 @@ def q_x2(spark, sf):
 @register("X3_lime_digest", sql(["fx_token_weights"], final="""
 select row_id, token, round(weight, 6) as weight,
        case when weight > 0 then 'Stereotype' else 'Non-Stereotype' end as direction, rank
-from (select *, row_number() over (partition by row_id order by abs(weight) desc, pos) as rank from fx_token_weights) x
+from (select *, cast(row_number() over (partition by row_id order by abs(weight) desc, pos) as integer) as rank from fx_token_weights) x
 where rank <= 5"""))
 def q_x3(spark, sf):
     return X.lime_digest(Fixtures(spark, sf).token_weights, 5)

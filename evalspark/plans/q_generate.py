@@ -70,8 +70,8 @@ def q_u1(spark, sf):
 
 @register("A4_dataset_stats", sql(["fx_samples", "fx_responses"], PARSED, VARIANTS, ("c", """
 select 'original' as origin from fx_samples union all select origin from variants"""), final="""
-select count_if(origin = 'original') as n_original, count_if(origin = 'neutral') as n_neutral,
-       count_if(origin = 'unrelated') as n_unrelated, count(*) as n_total,
+select cast(count_if(origin = 'original') as bigint) as n_original, cast(count_if(origin = 'neutral') as bigint) as n_neutral,
+       cast(count_if(origin = 'unrelated') as bigint) as n_unrelated, count(*) as n_total,
        round(count_if(origin = 'neutral') / count_if(origin = 'original'), 6) as neutral_yield,
        round(count_if(origin = 'unrelated') / count_if(origin = 'original'), 6) as unrelated_yield
 from c"""))

@@ -37,7 +37,7 @@ def q_t2(spark, sf):
 
 
 @register("T3_vocabulary", sql([], TERMS, TF, final="""
-select term, sum(tf) as cnt, count(*) as df from tf group by term order by cnt desc, term limit 50000"""))
+select term, cast(sum(tf) as bigint) as cnt, count(*) as df from tf group by term order by cnt desc, term limit 50000"""))
 def q_t3(spark, sf):
     v = T.vocabulary(T.term_counts(_docs(spark, sf)), 50_000)
     return v.select("term", F.col("cnt").cast("bigint").alias("cnt"), "df")
@@ -69,7 +69,7 @@ select model, case when actual_label = 1 then 'FN' when predicted_label = 1 then
        unnest(list_filter({TOK}, lambda x: not list_contains([{STOP}], x))) as word
 from fx_predictions where actual_label <> predicted_label"""), final="""
 select * from (select model, bucket, word, n,
-                      row_number() over (partition by model, bucket order by n desc, word) as rank
+                      cast(row_number() over (partition by model, bucket order by n desc, word) as integer) as rank
                from (select model, bucket, word, count(*) as n from b group by model, bucket, word) c) x
 where rank <= 50"""))
 def q_t12(spark, sf):
@@ -78,7 +78,7 @@ def q_t12(spark, sf):
 
 
 @register("P16_truncate_tokens", sql([], final=f"""
-select row_id, len(t) as n_tokens, len(t[1:128]) as n_kept, len(t) > 128 as truncated,
+select row_id, cast(len(t) as integer) as n_tokens, cast(len(t[1:128]) as integer) as n_kept, len(t) > 128 as truncated,
        case when len(t) > 0 then t[least(len(t), 128)] end as last_kept
 from (select row_id, {TOK} as t from {DOCS} d) x"""))
 def q_p16(spark, sf):
@@ -86,7 +86,7 @@ def q_p16(spark, sf):
 
 
 @register("P16_truncation_share", sql([], final=f"""
-select count(*) as n_rows, count_if(len(t) > 128) as n_truncated,
+select count(*) as n_rows, cast(count_if(len(t) > 128) as bigint) as n_truncated,
        round(count_if(len(t) > 128) / count(*), 6) as share_truncated
 from (select {TOK} as t from documents) x"""))
 def q_p16s(spark, sf):
