@@ -22,12 +22,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import CHI2_1_CRIT_05, hash_uniform, r6, significance_stars
 from evalspark.functions.stats_udf import chi2_1_sf
-from evalspark.operators.metrics import A, P, class_stats, slice_summary
+from evalspark.operators.metrics import A, P, averages, class_stats, slice_summary
+from evalspark.operators.stats import histogram
 from evalspark.session import reliable_checkpoint
 
 # Target number of bootstrap replicates computed per task.
@@ -301,9 +302,8 @@ def compare_all(predictions: DataFrame, registry: DataFrame, reps: int = 2000, s
 
 def compare_models(preds: DataFrame) -> DataFrame:
     """Macro-F1 per model, ranked, best flagged (ties: model name)."""
-    from pyspark.sql import Window
-    from evalspark.operators.metrics import averages
     f = averages(preds).select("model", F.col("macro_f1"))
+    # one row per model: the unpartitioned ranking window is bounded by the model count
     rank = F.row_number().over(Window.orderBy(F.col("macro_f1").desc(), F.col("model")))
     return f.select("model", "macro_f1", rank.alias("rank")).withColumn("is_best", F.col("rank") == 1)
 
@@ -312,7 +312,6 @@ def ablation_deltas(preds: DataFrame, reference_model: str, tol: float = 0.01) -
     """Each variant's macro-F1 and its delta to the reference model,
     flagged when lower by more than ``tol``. The reference F1 is a scalar
     subquery."""
-    from evalspark.operators.metrics import averages
     f = averages(preds).select("model", "macro_f1")
     ref = f.where(F.col("model") == reference_model).select("macro_f1").scalar()
     d = F.col("macro_f1") - ref
@@ -322,7 +321,6 @@ def ablation_deltas(preds: DataFrame, reference_model: str, tol: float = 0.01) -
 def bootstrap_histogram(deltas: DataFrame, bins: int = 50) -> DataFrame:
     """Histogram of the replicate deltas per pair, with the mean, the CI
     and whether 0 lies inside it."""
-    from evalspark.operators.stats import histogram
     h = histogram(deltas, "delta_f1", bins, by=["pair_id"])
     s = bootstrap_summary(deltas).select("pair_id", "delta_mean", "ci_lower", "ci_upper",
                                          ((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)).alias("zero_inside"))
