@@ -49,3 +49,27 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup", oracle=r"""
+WITH p AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         regexp_replace(regexp_replace(regexp_replace(html,
+           '(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>|<!--.*?-->', '', 'g'),
+           '(?i)</?(?:address|article|aside|blockquote|body|br|div|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|section|table|td|th|tr|ul)(?:\s[^>]*)?/?>', chr(10), 'g'),
+           '(?s)<[a-zA-Z/!][^>]*>', '', 'g') AS text
+  FROM pages),
+l AS (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
+k AS (SELECT *, nullif(trim(line, concat(' ', chr(9), chr(13))), '') AS bare FROM l),
+c AS (SELECT host, bare, count(DISTINCT page_id) AS n FROM k WHERE bare IS NOT NULL AND host IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY 1 HAVING count(*) >= 4),
+b AS (SELECT c.host, c.bare FROM c JOIN t USING (host) WHERE n > 1 AND n > 0.3::DOUBLE * pages),
+j AS (SELECT k.*, b.bare IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.bare = b.bare)
+SELECT page_id, host, count(*)::INTEGER AS n_lines, count(*) FILTER (bad)::INTEGER AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text
+FROM j GROUP BY page_id, host""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.line_dedup import dedup_pages
+
+    return dedup_pages(table(spark, sf_dir, "pages"))
