@@ -91,3 +91,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file of the installed package; it is not copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
