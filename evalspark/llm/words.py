@@ -87,6 +87,8 @@ class Words:
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators for words of letters and digits only; bytes above 0x7F count as letters.
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -119,8 +121,9 @@ def chunk_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(lengths + 1) - 1
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of the rows of one chunk; ``lower`` maps A-Z to a-z (ASCII only)."""
+def split_words(texts: pa.Array, lower: bool = False, separators: np.ndarray = _SEP) -> Words:
+    """Words of the rows of one chunk; ``lower`` maps A-Z to a-z (ASCII only). ``separators`` tells
+    for each byte whether it ends a word; the space must be one."""
     if not len(texts):
         none = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, dtype=np.uint8), none, none, np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64))
@@ -129,7 +132,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
         data = _LOWER[data]
     word = np.empty(len(data) + 1, dtype=bool)
     word[0] = False
-    np.logical_not(_SEP[data], out=word[1:])
+    np.logical_not(separators[data], out=word[1:])
     edges = np.flatnonzero(word[1:] != word[:-1])  # the last byte is a separator, so edges come in pairs
     start, end = edges[::2], edges[1::2]
     powers, inverse = _tables(len(data) + 1)
