@@ -226,7 +226,8 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         _keys(shingle, percent), "key long, set_id long")
     hubs = (keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"))
             .where("hub < top").select("key", "hub"))
-    near = components(keys.join(hubs, "key").select("set_id", "hub"), "set_id", "hub")
+    # hubs and members grow with the corpus, so these two joins are shuffled at every size
+    near = components(keys.join(hubs.hint("merge"), "key").select("set_id", "hub"), "set_id", "hub")
     members = staged(near.select(F.col("node").alias("set_id"), F.col("component").alias("candidates"))
                      .join(classes, "set_id"), "candidates")
     # a row block meets every row block of its candidate group: a copy of the row for each
@@ -237,7 +238,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("set_id", "first_doc", "copies", "candidates", "part",
                      F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")))
-    texts = (docs.join(members.select(F.col("first_doc").alias("doc_id"), "set_id"), "doc_id")
+    texts = (docs.join(members.select(F.col("first_doc").alias("doc_id"), "set_id").hint("merge"), "doc_id")
              .select("set_id", "text"))
     products = (dealt.join(texts, "set_id").select("candidates", "low", "high", "part", "set_id", "copies", "text")
                 .repartition("candidates", "low", "high").sortWithinPartitions("candidates", "low", "high"))
