@@ -126,3 +126,10 @@ def op5_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.topk_search import top_k_search
 
     return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
