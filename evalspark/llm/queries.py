@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.license_scan import TEMPLATES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -133,3 +135,31 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from evalspark.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+
+
+@query("op10_license_scans", oracle=rf"""
+WITH t(template, text) AS (VALUES {TEMPLATE_ROWS}),
+tw AS (SELECT template, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM t),
+ts AS (SELECT DISTINCT template, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+              lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM tw),
+n AS (SELECT template, count(*) AS n FROM ts GROUP BY 1),
+c AS (SELECT *, CASE WHEN n = 1 THEN 1 WHEN n <= 3 THEN 3 WHEN n <= 5 THEN 5 WHEN n <= 9 THEN 9 ELSE 17 END AS hi FROM n),
+k AS (SELECT *, CASE WHEN hi = 1 THEN 1 ELSE 2 * hi END AS len, CASE WHEN hi = 1 THEN 1 ELSE hi + 1 END AS step FROM c),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+       FROM documents WHERE text IS NOT NULL),
+di AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM dw WHERE len(w) > 0),
+ds AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 4], ' ') AS s FROM di),
+m AS (SELECT ds.doc_id, ds.pos, ds.s, k.* FROM ds JOIN ts USING (s) JOIN k USING (template)),
+x AS (SELECT *, 1 + step * unnest(range(greatest(0, (pos - len + step - 1) // step), (pos - 1) // step + 1)) AS start FROM m),
+g AS (SELECT doc_id, template, n, start, count(DISTINCT s) AS found FROM x WHERE pos BETWEEN start AND start + len - 1
+      GROUP BY ALL HAVING count(DISTINCT s) >= 0.8::DOUBLE * n - 1e-9)
+SELECT doc_id, template, n::INTEGER AS n_shingles, found::INTEGER AS n_found, (start - 1)::INTEGER AS first_window,
+       found::DOUBLE / n AS containment
+FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY found DESC, start) = 1""")
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
