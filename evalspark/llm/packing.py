@@ -13,7 +13,9 @@ of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,31 +42,65 @@ END_OF_TEXT = 0
 #: Words whose ids a worker keeps, in each of two generations.
 KEPT_WORDS = 250_000
 _LOADED: dict[str, "_Encoder"] = {}
+#: Between an ASCII letter or digit and an ASCII sign other than the apostrophe, either way round.
+_EDGE = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
+#: Words that normalisation leaves as they are and that are one token candidate.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class _Encoder:
-    """Ids of texts as little-endian uint32 bytes. No token goes over white space, so words are
-    encoded apart and the ids of frequent ones are kept."""
+    """Ids of texts as little-endian uint32 bytes, for byte-level tokenizers that drop white space and lower the case.
+
+    No token goes over white space or from a letter to a sign, save that
+    contractions are one token, so texts are cut there, the parts are
+    encoded apart, and the ids of frequent ones are kept. Texts that may
+    hold a special token's string are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Puts the ids of all words into the young generation."""
+        young, old, others = self.young, self.old, []
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            elif w.isalpha() or _LETTERS.fullmatch(w.decode()):
+                tokens = self.model.tokenize(w.decode("latin-1").translate(self.letters))
+                young[w] = array("I", [t.id for t in tokens]).tobytes()
+            else:
+                others.append(w)
+        for w, ids in zip(others, self._whole([w.decode() for w in others])):
+            young[w] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        out: list = [None] * len(texts)
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        for i, ids in zip(special, self._whole([texts[i] for i in special])):
+            out[i] = ids
+        split = [() if "<|" in t else _EDGE.sub(b" ", t.encode().lower()).split() for t in texts]
         if len(self.young) > KEPT_WORDS:
             self.young, self.old = {}, self.young
-        young = self.young
-        new = set().union(*split).difference(young)
-        for w in new & self.old.keys():
-            young[w] = self.old[w]
-        new = [w for w in new if w not in young]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            young[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([young[w] for w in words]) for words in split]
+        self._learn(set().union(*split))
+        ids_of = self.young.__getitem__
+        return [b"".join(map(ids_of, words)) if ids is None else ids for ids, words in zip(out, split)]
 
 
 def encoder(path: str) -> _Encoder:
