@@ -163,3 +163,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs))
