@@ -90,7 +90,7 @@ def _blocks(window: int):
 def _end_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, keys = batch.column(0), batch.column(1), batch.column(2)
+            ids, rows, texts, keys = (batch.column(k) for k in range(4))
             for lo, hi in chunks(texts):
                 w = split_words(texts[lo:hi])
                 at, row, key = _window_keys(w, window)
@@ -101,7 +101,8 @@ def _end_windows(window: int):
                 pair = [ngram_hashes(w.hash, window, seed=s)[at].view(np.int64) for s in (5, 7)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pair[0]), pa.array(pair[1]), ids[lo:hi].take(pa.array(row)),
-                     pa.array((at - w.first[row]).astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
+                     rows[lo:hi].take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))],
+                    names=["h1", "h2", "doc_id", "row", "pos"])
     return run
 
 
@@ -180,22 +181,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_id = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     blocks = with_id.mapInArrow(_blocks(window), "key long, block long, doc_id long")
-    index = (blocks.groupBy("key")
-             .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
-                  (F.min("block") != F.max("block")).alias("mixed"))
-             .where("first_doc < last_doc").drop("last_doc"))
-    found = (blocks.select("key", "doc_id").join(index, "key").where("mixed or doc_id > first_doc")
-             .groupBy("doc_id")
-             .agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"),
-                  F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("ends")))
-    found = staged(found, "rlz-blocks")
+    # written first, so that the joins meet plain exchanges, whose hot keys can be split
+    index = staged(blocks.groupBy("key")
+                   .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+                        (F.min("block") != F.max("block")).alias("mixed"))
+                   .where("first_doc < last_doc").drop("last_doc"), "rlz-index")
+    found = staged(blocks.select("key", "doc_id").join(index, "key").where("mixed or doc_id > first_doc")
+                   .groupBy("doc_id")
+                   .agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"),
+                        F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("ends")), "rlz-blocks")
+    # positions belong to a text: rows with equal ids can hold different ones
+    row = F.xxhash64("text").alias("row")
     at_ends = staged(with_id.join(found.select("doc_id", "ends").where(F.size("ends") > 0), "doc_id")
-                     .select("doc_id", "text", "ends")
-                     .mapInArrow(_end_windows(window), "h1 long, h2 long, doc_id long, pos int"), "rlz-ends")
-    first = at_ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    copied = (at_ends.join(first.where("first_doc < last_doc"), ["h1", "h2"]).where("doc_id > first_doc")
-              .groupBy("doc_id").agg(F.collect_list("pos").alias("positions")))
-    return (docs.join(found.select("doc_id", "whole"), "doc_id", "left").join(copied, "doc_id", "left")
+                     .select("doc_id", row, "text", "ends")
+                     .mapInArrow(_end_windows(window), "h1 long, h2 long, doc_id long, row long, pos int"), "rlz-ends")
+    first = staged(at_ends.groupBy("h1", "h2")
+                   .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+                   .where("first_doc < last_doc").drop("last_doc"), "rlz-windows")
+    copied = (at_ends.join(first, ["h1", "h2"]).where("doc_id > first_doc")
+              .groupBy("doc_id", "row").agg(F.collect_set("pos").alias("positions")))
+    return (docs.withColumn("row", row).join(found.select("doc_id", "whole"), "doc_id", "left")
+            .join(copied, ["doc_id", "row"], "left")
             .select("doc_id", "text", "whole", "positions")
             .mapInArrow(_factored(window), "doc_id long, n_words long, n_removed long, span_start array<int>, "
                                            "span_length array<int>, kept_text string"))
