@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 MAX_SHARE = 0.3
 MIN_PAGES = 4
+SALTS = 32
 
 #: Elements whose content is not text, and tags that end a line. Fixed values.
 _HIDDEN = r"(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>|<!--.*?-->"
@@ -50,11 +51,13 @@ def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MA
     keys = F.array_distinct(F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), line_key), lambda k: k.isNotNull()))
     pages = df.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"),
                                                             F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
-    # the page total travels with the lines as a null key, so the text is split once
-    counts = (pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("string")), "keys")).alias("key"))
-              .groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")))
-    totals = counts.where(F.col("key").isNull() & (F.col("n") >= min_pages)).select("host", F.col("n").alias("pages"))
-    return (counts.where(F.col("key").isNotNull() & (F.col("n") > 1)).join(totals, "host")
+    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    # page totals need no text; copies of them spread the lines of a hot host over SALTS tasks
+    totals = (df.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+              .where(F.col("pages") >= min_pages)
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    return (counts.where("n > 1").withColumn("salt", salt).join(totals, ["host", "salt"])
             .where(F.col("n") > F.lit(float(max_share)) * F.col("pages"))
             .groupBy("host").agg(F.collect_list("key").alias("keys")))
 
