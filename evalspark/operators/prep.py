@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import label_display as _label_display
@@ -45,8 +45,8 @@ def pairs_to_samples(pairs: DataFrame, label: str = "stereotype") -> DataFrame:
 
 
 def binarize_label(df: DataFrame, positive="stereotype", col: str = "label", out: str = "label_int") -> DataFrame:
-    """P5: 1 if the label equals ``positive`` else 0 (null stays null)."""
-    return df.withColumn(out, (F.col(col) == F.lit(positive)).cast("int"))
+    """P5: 1 if the label equals ``positive``, else 0; a null label is not the positive one, so 0."""
+    return df.withColumn(out, F.col(col).eqNullSafe(F.lit(positive)).cast("int"))
 
 
 # The three-class encoding.
@@ -61,9 +61,8 @@ def encode_label(df: DataFrame, mapping: Mapping[str, int] = THREE_CLASS, col: s
 
 
 def drop_labels(df: DataFrame, values: Sequence, col: str = "label") -> DataFrame:
-    """Remove the given labels (null labels are kept out as well, as a
-    != filter does)."""
-    return df.where(~F.col(col).isin(list(values)))
+    """Remove the given labels; null labels are none of them and stay."""
+    return df.where(~F.col(col).isin(list(values)) | F.col(col).isNull())
 
 
 def attach_row_id(df: DataFrame, source_key: str | None = None, out: str = "row_id") -> DataFrame:
@@ -112,9 +111,3 @@ def truncation_share(df: DataFrame, n: int, col: str = "text") -> DataFrame:
     t = truncate_tokens(df.select(col), n, col)
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("truncated").alias("n_truncated"),
                  F.round(F.count_if("truncated") / F.count(F.lit(1)), 6).alias("share_truncated"))
-
-
-def first_per_group(df: DataFrame, group: str, order: Sequence[str], n: int = 1) -> DataFrame:
-    """Top-n rows per group by ``order`` (a window group limit)."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")

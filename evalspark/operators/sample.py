@@ -8,8 +8,10 @@ floor(n_test x N_c / N) and the remaining rows go to the largest remainders
 No stratum is sorted as a whole. Rows are bucketed by the first 16 bits of
 their hash; counts per (stratum, bucket) (<= 65,536 rows per stratum) give
 each stratum's cut bucket; only rows of the cut bucket are ranked, every
-other row is decided by comparing its bucket with the cut. The input is read
-three times (counts, decided rows, cut rows) and nothing large is shuffled.
+other row is decided by comparing its bucket with the cut. The cuts, one per
+stratum, reach the rows as a map held in a scalar subquery, so no row is
+shuffled by its stratum but those of the cut buckets. Null strata form a
+stratum of their own.
 """
 
 from __future__ import annotations
@@ -28,40 +30,54 @@ def _with_hash(df: DataFrame, key: str, seed) -> DataFrame:
         "_bk", F.conv(F.substring("_h", 1, _BUCKET_HEX), 16, 10).cast("int"))
 
 
+def _stratum_key(strata: str) -> F.Column:
+    """The stratum as a map key: null is told from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit(""))
+
+
 def stratum_quotas(counts: DataFrame, strata: str, total) -> DataFrame:
     """Per stratum: N_c and its quota of ``total`` rows (largest remainders).
 
     ``counts`` has one row per (stratum, bucket); ``total`` is a Column of
-    the wanted number of rows given N (column ``_N``)."""
+    the wanted number of rows given N (column ``_N``). Products are decimal,
+    as T x N_c leaves the range of a long near 7 billion rows."""
     per = counts.groupBy(strata).agg(F.sum("_cnt").alias("_Nc"))
     w_all = Window.partitionBy()  # one row per stratum
     per = per.withColumn("_N", F.sum("_Nc").over(w_all))
     per = per.withColumn("_T", total)
-    num = F.col("_T") * F.col("_Nc")
-    per = per.withColumn("_fl", F.floor(num / F.col("_N")).cast("long")).withColumn("_rem", num % F.col("_N"))
+    num = F.col("_T").cast("decimal(19,0)") * F.col("_Nc").cast("decimal(19,0)")
+    big_n = F.col("_N").cast("decimal(19,0)")
+    per = per.withColumn("_rem", num % big_n)
+    per = per.withColumn("_fl", ((num - F.col("_rem")) / big_n).cast("long"))
     per = per.withColumn("_left", F.col("_T") - F.sum("_fl").over(w_all))
-    rk = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(strata).asc()))
+    rk = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(strata).asc_nulls_first()))
     return per.withColumn("_quota", F.col("_fl") + F.when(rk <= F.col("_left"), 1).otherwise(0)) \
               .select(strata, "_Nc", "_quota")
 
 
-def _pick(df: DataFrame, strata: str, key: str, seed, total_fn) -> DataFrame:
-    """df with boolean ``_picked``: the first quota rows of each stratum in hash order."""
+def _pick(df: DataFrame, strata: str, key: str, seed, quotas) -> DataFrame:
+    """df with boolean ``_picked``: the first quota rows of each stratum in hash order.
+
+    ``quotas`` makes (stratum, _quota) from the counts per (stratum, bucket)."""
     x = _with_hash(df, key, seed)
     counts = x.groupBy(strata, "_bk").agg(F.count(F.lit(1)).alias("_cnt"))
-    quotas = stratum_quotas(counts, strata, total_fn(F.col("_N")))
+    per = quotas(counts).select(F.col(strata).alias("_s"), "_quota")
     w = Window.partitionBy(strata).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     cum = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    cut = cum.join(quotas, strata).where((F.col("_before") < F.col("_quota")) &
-                                         (F.col("_quota") <= F.col("_before") + F.col("_cnt")))
-    cut = cut.select(strata, F.col("_bk").alias("_cut"), (F.col("_quota") - F.col("_before")).alias("_need"))
-    j = x.join(cut, strata, "left")
-    decided = j.where(F.col("_cut").isNull() | (F.col("_bk") != F.col("_cut"))) \
-               .withColumn("_picked", F.coalesce(F.col("_bk") < F.col("_cut"), F.lit(False)))
-    at_cut = j.where(F.col("_bk") == F.col("_cut"))
-    rn = F.row_number().over(Window.partitionBy(strata).orderBy("_h", key))
-    at_cut = at_cut.withColumn("_picked", rn <= F.col("_need"))
-    return decided.unionByName(at_cut).drop("_h", "_bk", "_cut", "_need")
+    cut = cum.join(per, F.col(strata).eqNullSafe(F.col("_s"))).where(
+        (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_cnt")))
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(_stratum_key(strata), F.struct(
+        F.col("_bk").alias("cut"), (F.col("_quota") - F.col("_before")).alias("need")))))).scalar()
+    j = x.withColumn("_c", F.try_element_at(cuts, _stratum_key(strata)))
+    at_cut = F.coalesce(F.col("_bk") == F.col("_c.cut"), F.lit(False))
+    decided = j.where(~at_cut).withColumn("_picked", F.coalesce(F.col("_bk") < F.col("_c.cut"), F.lit(False)))
+    rn = F.row_number().over(Window.partitionBy(strata, "_bk").orderBy("_h", key))
+    ranked = j.where(at_cut).withColumn("_picked", rn <= F.col("_c.need"))
+    return decided.unionByName(ranked).drop("_h", "_bk", "_c")
+
+
+def _largest_remainders(strata: str, total_fn):
+    return lambda counts: stratum_quotas(counts, strata, total_fn(F.col("_N")))
 
 
 def split_stratified(df: DataFrame, test: float = 0.2, strata: str = "label", key: str = "row_id",
@@ -69,7 +85,7 @@ def split_stratified(df: DataFrame, test: float = 0.2, strata: str = "label", ke
     """SA2: adds ``split`` = 'test' | 'train' with label shares kept."""
     def total(n):
         return F.ceil(F.lit(float(test)) * n).cast("long")
-    p = _pick(df, strata, key, seed, total)
+    p = _pick(df, strata, key, seed, _largest_remainders(strata, total))
     return p.withColumn(col, F.when(F.col("_picked"), "test").otherwise("train")).drop("_picked")
 
 
@@ -82,22 +98,23 @@ def split_random(df: DataFrame, test: float = 0.2, key: str = "row_id", seed: in
 
 def downsample_stratified(df: DataFrame, n: int, strata: str = "label", key: str = "row_id",
                           seed: int = 42) -> DataFrame:
-    """SA1: a stratified subset of n rows when n < N, else every row."""
+    """SA1: a stratified subset of n rows when n < N, else every row (rows with a null stratum too)."""
     def total(big_n):
         return F.least(F.lit(int(n)).cast("long"), big_n.cast("long"))
-    return _pick(df, strata, key, seed, total).where("_picked").drop("_picked")
+    return _pick(df, strata, key, seed, _largest_remainders(strata, total)).where("_picked").drop("_picked")
 
 
 def sample_equal_per_class(df: DataFrame, n: int, strata: str = "label", key: str = "row_id",
                            seed: int = 42) -> DataFrame:
-    """SA4: min(N_c, n // n_classes) rows of every class, in hash order.
+    """SA4: min(N_c, n // n_classes) rows of every class, in hash order; a null label is no class.
 
     k is one number computed first; with a literal k Spark plans a
     partial window group limit, so each task ships at most k rows per class."""
-    n_classes = df.select(F.count_distinct(strata)).first()[0] or 1
+    labelled = df.where(F.col(strata).isNotNull())
+    n_classes = labelled.select(F.count_distinct(strata)).first()[0] or 1
     k = n // n_classes
     rn = F.row_number().over(Window.partitionBy(strata).orderBy(hash_key(seed, key), F.col(key)))
-    return df.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn")
+    return labelled.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn")
 
 
 def sample_top_groups(df: DataFrame, top: int = 5, per_group: int = 3, group: str = "grp",

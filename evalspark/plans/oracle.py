@@ -26,6 +26,8 @@ select l.doc_id as row_id, d.text,
        case when l.toxic = 1 then 'stereotype' when l.quality = 1 then 'neutral' else 'unrelated' end as label,
        d.source as grp, 'docs' as data_name
 from labels l join documents d on l.doc_id = d.doc_id""")
+_fx("fx_samples_null", ("fx_samples",), """
+select row_id, text, case when row_id % 9 <> 0 then label end as label, grp, data_name from fx_samples""")
 _fx("fx_predictions", ("fx_models", "fx_samples"), f"""
 select m.model, x.row_id, x.text, x.actual as actual_label,
        case when {U("concat(m.model, ':', cast(x.row_id as varchar(20)))")} < cast(m.flip as double)
@@ -46,15 +48,16 @@ from conversations u join conversations v on u.conv_id = v.conv_id and v.turn =
 _fx("fx_responses", (), """
 select doc_id as row_id, source as grp,
        case doc_id % 5
-         when 0 then concat('NEUTRE: ', substr(text, 1, 20))
-         when 1 then concat('  Neutre: a: b \n SANS_RAPPORT:  x', cast(doc_id as varchar(20)))
-         when 2 then 'NEUTRE: first\nNEUTRE: second\nSans rapport: y'
-         when 3 then 'no marker' end as response
+         when 0 then concat('NEUTRE: ', replace(text, chr(10), ' '))
+         when 1 then concat('  Neutre: a: b \n SANS_RAPPORT:  ', replace(text, chr(10), ' '))
+         when 2 then concat('NEUTRE: first\nNEUTRE: second\nSans rapport: ', replace(text, chr(10), ' '))
+         when 3 then concat('no marker ', text) end as response
 from documents""")
 _fx("fx_token_weights", (), f"""
-select doc_id as row_id, k as pos, split_part(text, ' ', k) as token,
+select doc_id as row_id, k::INTEGER as pos, token,
        2.0 * {U("concat('w:', cast(doc_id as varchar(20)), ':', cast(k as varchar(10)))")} - 1.0 as weight
-from documents, (select 1 as k union all select 2 union all select 3) ks""")
+from (select doc_id, unnest(string_split(text, ' ')) as token, generate_subscripts(string_split(text, ' '), 1) as k
+      from documents) x""")
 _fx("fx_registry", (), """
 select 1 as pair_id, 'A' as model_a, 'B' as model_b, 'A vs B' as name, 'baseline' as category
 union all select 2, 'A', 'C', 'A vs C', 'ablation' union all select 3, 'B', 'C', 'B vs C', 'ablation'""")

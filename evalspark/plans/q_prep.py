@@ -52,6 +52,18 @@ def q_p5(spark, sf):
     return PR.binarize_label(_fx(spark, sf).samples.select("row_id", "label"))
 
 
+@register("P5_binarize_null_label", sql(["fx_samples_null"], final="""
+select row_id, label, cast(coalesce(label = 'stereotype', false) as integer) as label_int from fx_samples_null"""))
+def q_p5n(spark, sf):
+    return PR.binarize_label(_fx(spark, sf).samples_null.select("row_id", "label"))
+
+
+@register("P7_drop_labels_null_label", sql(["fx_samples_null"], final="""
+select row_id, label, grp from fx_samples_null where label is distinct from 'unrelated'"""))
+def q_p7n(spark, sf):
+    return PR.drop_labels(_fx(spark, sf).samples_null.select("row_id", "label", "grp"), ["unrelated"])
+
+
 @register("P6_encode_label", sql(["fx_samples"], final="""
 select row_id, label, case label when 'stereotype' then 0 when 'neutral' then 1 when 'unrelated' then 2 end as label_id
 from (select row_id, label from fx_samples union all select row_id + 1000000000, 'other' from fx_samples where row_id % 7 = 0) x"""))

@@ -18,9 +18,9 @@ def _quota_sql(src: str, strata: str, key: str, total_expr: str) -> list[tuple[s
         ("per", f"select {strata} as s, count(*) as nc from h group by {strata}"),
         ("tot", f"select sum(nc) as n, {total_expr} as t from per"),
         ("q1", "select s, nc, (t * nc) // n as fl, (t * nc) % n as rem, t from per, tot"),
-        ("q2", "select s, fl + case when row_number() over (order by rem desc, s) <= t - sum(fl) over () then 1 else 0 end as quota from q1"),
+        ("q2", "select s, fl + case when row_number() over (order by rem desc, s nulls first) <= t - sum(fl) over () then 1 else 0 end as quota from q1"),
         ("picked", f"""select h.*, row_number() over (partition by h.{strata} order by hh, {key}) <= q2.quota as picked
-                       from h join q2 on h.{strata} = q2.s"""),
+                       from h join q2 on h.{strata} is not distinct from q2.s"""),
     ]
 
 
@@ -32,6 +32,22 @@ def q_sa2(spark, sf):
     return s.select("row_id", "label", "grp", "split")
 
 
+@register("SA2_split_null_stratum", sql(["fx_samples_null"], *_quota_sql(
+    "fx_samples_null", "label", "row_id", "cast(ceil(0.2::double * sum(nc)) as bigint)"), final="""
+select row_id, label, case when picked then 'test' else 'train' end as split from picked"""))
+def q_sa2n(spark, sf):
+    return SA.split_stratified(Fixtures(spark, sf).samples_null.select("row_id", "label"), 0.2)
+
+
+@register("SA4_sample_null_label", sql(["fx_samples_null"], final="""
+select row_id, label from (
+  select *, row_number() over (partition by label order by md5('42:' || cast(row_id as varchar)), row_id) as rn
+  from fx_samples_null where label is not null) x
+where rn <= 30 // (select count(distinct label) from fx_samples_null)"""))
+def q_sa4n(spark, sf):
+    return SA.sample_equal_per_class(Fixtures(spark, sf).samples_null.select("row_id", "label"), 30)
+
+
 @register("SA2_split_stratified_documents", sql([], *_quota_sql(
     "(select doc_id, lang from documents)", "lang", "doc_id", "cast(ceil(0.2::double * sum(nc)) as bigint)"), final="""
 select doc_id, lang, case when picked then 'test' else 'train' end as split from picked"""))

@@ -46,8 +46,7 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        from evalspark.sources.io import spread
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -59,6 +58,11 @@ class Fixtures:
             F.col("doc_id").alias("row_id"), "text", label.alias("label"),
             F.col("source").alias("grp"), F.lit("docs").alias("data_name"))
 
+    @cached_property
+    def samples_null(self) -> DataFrame:
+        """samples with a null label in every ninth row."""
+        return self.samples.withColumn("label", F.when(F.col("row_id") % 9 != 0, F.col("label")))
+
     @cached_property
     def predictions(self) -> DataFrame:
         x = self.samples.withColumn("actual", (F.col("label") == "stereotype").cast("int"))
@@ -104,21 +108,20 @@ class Fixtures:
     def responses(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "source", "text")
         k = F.col("doc_id") % 5
-        resp = (F.when(k == 0, F.concat(F.lit("NEUTRE: "), F.substring("text", 1, 20)))
-                .when(k == 1, F.concat(F.lit("  Neutre: a: b \n SANS_RAPPORT:  x"),
-                                       F.col("doc_id").cast("string")))
-                .when(k == 2, F.lit("NEUTRE: first\nNEUTRE: second\nSans rapport: y"))
-                .when(k == 3, F.lit("no marker")))
+        line = F.replace("text", F.lit("\n"), F.lit(" "))  # the whole text in one line
+        resp = (F.when(k == 0, F.concat(F.lit("NEUTRE: "), line))
+                .when(k == 1, F.concat(F.lit("  Neutre: a: b \n SANS_RAPPORT:  "), line))
+                .when(k == 2, F.concat(F.lit("NEUTRE: first\nNEUTRE: second\nSans rapport: "), line))
+                .when(k == 3, F.concat(F.lit("no marker "), "text")))
         return d.select(F.col("doc_id").alias("row_id"), F.col("source").alias("grp"),
                         resp.alias("response"))
 
     @cached_property
     def token_weights(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", "text")
-        d = d.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-        w = F.lit(2.0) * _u("w:", F.col("doc_id").cast("string"), ":", F.col("k").cast("string")) - F.lit(1.0)
-        return d.select(F.col("doc_id").alias("row_id"), F.col("k").alias("pos"),
-                        F.split_part("text", F.lit(" "), F.col("k")).alias("token"), w.alias("weight"))
+        d = self.table("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "token"))
+        k = F.col("p") + 1
+        w = F.lit(2.0) * _u("w:", F.col("doc_id").cast("string"), ":", k.cast("string")) - F.lit(1.0)
+        return d.select(F.col("doc_id").alias("row_id"), k.alias("pos"), "token", w.alias("weight"))
 
     @cached_property
     def registry(self) -> DataFrame:
