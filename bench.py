@@ -27,6 +27,15 @@ from evalspark.session import local_session  # noqa: E402
 from evalspark.sources.fixtures import Fixtures  # noqa: E402
 
 
+class SpreadFixtures(Fixtures):
+    """Fixtures over test files of one row group, dealt out to all cores."""
+
+    def table(self, name):
+        df = super().table(name)
+        target = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
+
+
 def run(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -39,7 +48,7 @@ def main():
     if log_dir:
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
     spark = local_session(cpus, "evalspark-bench", extra)
-    fx = Fixtures(spark, sf_dir)
+    fx = SpreadFixtures(spark, sf_dir)
     run(fx.table("region"))  # warm-up
 
     def metrics_by_group():

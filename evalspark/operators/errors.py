@@ -45,10 +45,20 @@ def attach_source_line(preds: DataFrame, source: DataFrame, key: str = "text",
     return j.withColumn("n_source_matches", F.coalesce("n_source_matches", F.lit(0)).cast("bigint"))
 
 
-def error_rate(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def _cells(preds_or_cells: DataFrame, by: Sequence[str], scope: str) -> DataFrame:
+    """Counted rows: (by..., [grp,] actual, predicted, n, sum_prob) from cells of M1 (of one scope) or from predictions."""
+    keys = [*by, "grp"] if scope == "group" else list(by)
+    if "scope" in preds_or_cells.columns:
+        return preds_or_cells.where(F.col("scope") == scope)
+    prob = F.sum(PROB) if PROB in preds_or_cells.columns else F.lit(None).cast("double")
+    return preds_or_cells.groupBy(*keys, A, P).agg(F.count(F.lit(1)).alias("n"), prob.alias("sum_prob"))
+
+
+def error_rate(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Errors, total, percent."""
-    s = preds.groupBy(*by).agg(F.count_if(F.col(A) != F.col(P)).alias("n_errors"),
-                               F.count(F.lit(1)).alias("n_total"))
+    c = _cells(preds_or_cells, by, "overall")
+    s = c.groupBy(*by).agg(F.sum(F.when(F.col(A) != F.col(P), F.col("n")).otherwise(0)).alias("n_errors"),
+                           F.sum("n").alias("n_total"))
     return s.select(*by, "n_errors", "n_total", r6(F.col("n_errors") * 100.0 / F.col("n_total")).alias("error_pct"))
 
 
@@ -61,18 +71,23 @@ def error_table(preds: DataFrame, source: DataFrame) -> DataFrame:
             .orderBy(F.col("original_line_number").asc_nulls_last(), *[c for c in ("model", "row_id") if c in e.columns])
 
 
-def error_count_by_group(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def error_count_by_group(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Error count per group (null groups left out)."""
-    e = errors(preds).where(F.col("grp").isNotNull())
-    return e.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("error_count"))
+    e = _cells(preds_or_cells, by, "group").where((F.col(A) != F.col(P)) & F.col("grp").isNotNull())
+    return e.groupBy(*by, "grp").agg(F.sum("n").alias("error_count"))
 
 
-def error_summary_by_group(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def error_summary_by_group(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Error count and mean predicted probability per group; without a
-    probability column only the count."""
-    e = errors(preds).where(F.col("grp").isNotNull())
+    probability column only the count. The mean takes no null probabilities
+    where predictions are given, and all errors where cells are."""
+    if "scope" in preds_or_cells.columns:
+        e = preds_or_cells.where((F.col("scope") == "group") & (F.col(A) != F.col(P)) & F.col("grp").isNotNull())
+        return e.groupBy(*by, "grp").agg(F.sum("n").alias("error_count"),
+                                         r6(F.sum("sum_prob") / F.sum("n")).alias("average_probability"))
+    e = errors(preds_or_cells).where(F.col("grp").isNotNull())
     aggs = [F.count(F.lit(1)).alias("error_count")]
-    if PROB in preds.columns:
+    if PROB in preds_or_cells.columns:
         aggs.append(r6(F.avg(PROB)).alias("average_probability"))
     return e.groupBy(*by, "grp").agg(*aggs)
 
@@ -114,11 +129,11 @@ def main_confusions(preds_or_cells: DataFrame, by: Sequence[str] = ("model",)) -
               .select(*by, A, P, "n", r6(F.col("n") / F.col("_t")).alias("share"))
 
 
-def fn_fp_distribution(preds: DataFrame, positive=1, by: Sequence[str] = ("model",)) -> DataFrame:
+def fn_fp_distribution(preds_or_cells: DataFrame, positive=1, by: Sequence[str] = ("model",)) -> DataFrame:
     """FN / FP / other counts and their share of the errors."""
     by = list(by)
-    b = error_bucket(errors(preds), positive)
-    c = b.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    b = error_bucket(errors(_cells(preds_or_cells, by, "overall")), positive)
+    c = b.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by)
     return c.select(*by, "bucket", "n", r6(F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct_of_errors"))
 

@@ -26,28 +26,32 @@ from evalspark.sources import io as IO
 
 def evaluate(predictions: DataFrame, by: Sequence[str] = ("model",), positive=1, top_failures: int = 50,
              out_dir: str | None = None) -> dict[str, DataFrame]:
-    """Entry 1 (evaluation part): every report from one pass over the
-    predictions. The confusion cells (keys x groups x labels^2 rows) are
-    checkpointed once; all reports read them."""
+    """Entry 1 (evaluation part): every report from the confusion cells
+    (keys x groups x labels^2 rows), which are checkpointed after one pass
+    over the predictions; only the top failures read them again. Without a
+    ``grp`` column the reports by group are left out."""
     by = list(by)
-    cells = reliable_checkpoint(M.confusion_cells(predictions, by))
-    gstats = G.group_stats(cells, by)
+    grouped = "grp" in predictions.columns
+    cells = reliable_checkpoint(M.confusion_cells(predictions, by, "grp" if grouped else None))
     out = {
         "classification_report": M.full_report(cells, by),
-        "metrics_by_group": M.metrics_by_group(cells, by),
         "confusion_matrix": M.confusion_matrix_normalized(cells, by),
-        "group_stats": gstats,
-        "group_dispersion": G.group_dispersion(gstats, by),
-        "groups_vs_mean": G.groups_vs_mean(gstats, by),
-        "best_worst_groups": G.best_worst_groups(gstats, 5, by),
         "error_types": E.error_types(cells, 10, by),
         "errors_by_class": E.errors_by_class(cells, by),
-        "error_rate": E.error_rate(predictions, by),
-        "fn_fp": E.fn_fp_distribution(predictions, positive, by),
+        "error_rate": E.error_rate(cells, by),
+        "fn_fp": E.fn_fp_distribution(cells, positive, by),
         "top_failures": E.top_failures(predictions, top_failures, by),
     }
-    if "grp" in predictions.columns:
-        out["errors_by_group"] = E.error_summary_by_group(predictions, by)
+    if grouped:
+        gstats = G.group_stats(cells, by)
+        out |= {
+            "metrics_by_group": M.metrics_by_group(cells, by),
+            "group_stats": gstats,
+            "group_dispersion": G.group_dispersion(gstats, by),
+            "groups_vs_mean": G.groups_vs_mean(gstats, by),
+            "best_worst_groups": G.best_worst_groups(gstats, 5, by),
+            "errors_by_group": E.error_summary_by_group(cells, by),
+        }
     if out_dir:
         for name, df in out.items():
             IO.write_table(df, f"{out_dir.rstrip('/')}/{name}")
@@ -68,7 +72,7 @@ def train_and_evaluate(samples: DataFrame, positive_label: str = "stereotype", t
         MD.save_model(model, model_path)
     keep = ["row_id", "text", "label_int"] + [c for c in ("grp",) if c in samples.columns]
     p = MD.predict(model, tst, keep=keep).withColumnRenamed("label_int", "actual_label")
-    p = p.withColumn("model", F.lit(model_name))
+    p = reliable_checkpoint(p.withColumn("model", F.lit(model_name)))  # scored once
     out = evaluate(p)
     out["predictions"] = p
     return out

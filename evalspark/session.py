@@ -40,18 +40,28 @@ def local_session(cores: int | str = "*", app: str = "evalspark", extra: dict |
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    a fresh folder is created and registered.
+    The session's setting always wins, then a folder given to
+    ``setCheckpointDir``. Only a local master (tests) gets a fresh temporary
+    folder; elsewhere its lack is an error, as executors share no temporary
+    folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not is_local_master(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
+def is_local_master(master: str) -> bool:
+    """Whether driver and executors are one process: local, local[...]; not local-cluster[...]."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint dir (stream checkpoints, staged tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -13,38 +13,27 @@ PREDICTIONS_SCHEMA = ("row_id long, text string, actual_label int, predicted_lab
                       "predicted_probability double, grp string, dataset_name string")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-split scan over the cluster's cores.
-
-    A single-file, single-row-group table scans as one task, and the
-    CPU-heavy work fused into the scan (hashing, regex tokenising) would run
-    on one core. Big inputs are many files or row groups and are returned
-    unchanged. Column pruning and filters still reach the scan below the
-    repartition."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def read_delimited(spark: SparkSession, path: str, schema: str = PAIRS_SCHEMA, sep: str = "\t",
-                   header: bool = True) -> DataFrame:
+                   header: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited text with quoted fields that may hold separators,
-    doubled quotes and line breaks."""
+    doubled quotes and line breaks. With ``multi_line`` every file is one
+    task; without it large files are split, and fields may not hold line
+    breaks."""
     return (spark.read.schema(schema)
             .option("sep", sep).option("header", header).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).csv(path))
+            .option("multiLine", multi_line).csv(path))
 
 
 def read_samples(spark: SparkSession, path: str, columns: Mapping[str, str] | None = None,
-                 fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+                 fmt: str = "parquet", schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read and keep only ``{output: source}`` columns (column pruning
-    reaches the scan: ``ReadSchema`` lists only those)."""
+    reaches the scan: ``ReadSchema`` lists only those). CSV: ``multi_line``
+    as in S1."""
     r = spark.read
     if schema:
         r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+        r = r.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     df = r.format(fmt).load(path)
     if columns:
         df = df.select(*[F.col(src).alias(dst) for dst, src in columns.items()])

@@ -6,7 +6,8 @@ into variant rows and appended to ``out_dir``. The checkpoint records which
 files were processed and which output batches were committed, so a restart
 after a crash resumes where it stopped and every input file is processed
 once (the file sink's log makes the output exactly-once). The checkpoint
-lives below the shared ``spark.checkpoint.dir`` unless a location is given.
+location belongs to one stream and must outlive the session, so the caller
+names it.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.operators.generate import build_prompt, generate, parse_response, to_variants
-from evalspark.session import checkpoint_subdir
 
 SAMPLES_SCHEMA = "row_id long, text string, label string, grp string"
 
 
 def expand_incremental(spark: SparkSession, in_dir: str, out_dir: str,
                        generator_factory: Callable[[], Callable[[str], str]],
-                       checkpoint: str | None = None, schema: str = SAMPLES_SCHEMA, fmt: str = "parquet",
+                       checkpoint: str, schema: str = SAMPLES_SCHEMA, fmt: str = "parquet",
                        max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there
     (in several batches if ``max_files_per_trigger`` is set) and stops."""
@@ -34,7 +34,7 @@ def expand_incremental(spark: SparkSession, in_dir: str, out_dir: str,
     src = reader.load(in_dir)
     variants = to_variants(parse_response(generate(build_prompt(src), generator_factory)))
     w = (variants.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or checkpoint_subdir(spark, "expand_incremental"))
+         .option("checkpointLocation", checkpoint)
          .option("path", out_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -1,5 +1,6 @@
-from evalspark.session import ensure_checkpoint_dir, reliable_checkpoint
-from evalspark.sources.io import spread
+import pytest
+
+from evalspark.session import ensure_checkpoint_dir, is_local_master, reliable_checkpoint
 
 
 def test_checkpoint_dir_comes_from_session(spark):
@@ -10,9 +11,18 @@ def test_checkpoint_dir_comes_from_session(spark):
     assert "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_spread_only_under_split_inputs(spark):
-    par = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == par
-    many = spark.range(0, 100, 1, par + 3)
-    assert spread(many).rdd.getNumPartitions() == par + 3
+def test_no_silent_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+    assert not is_local_master("local-cluster[3,2,1024]") and not is_local_master("yarn")
+    assert is_local_master("local") and is_local_master("local[*]") and is_local_master("local[4,2]")
