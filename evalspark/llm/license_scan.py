@@ -10,6 +10,11 @@ Jaccard similarity that a window with enough of a template can have, so that
 such a window is found with probability RECALL. A candidate matches when it
 holds the required share of the template's shingles. DataFrame functions
 only, and no row is shuffled before the few matches.
+
+A band of a window can only have a template's value if the window holds the
+shingle that the value stands for, so the bands are worked out for the
+windows around such shingles and for no others; the result is the same as
+with all windows.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ TEMPLATES = {
 
 def shingles(text: Column) -> Column:
     """Hash of every five-word shingle, in order; a text with fewer words is one shingle, one without any has none."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))),
         lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(
@@ -103,8 +108,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     empty = F.array().cast("array<struct<class:int,band:int,value:bigint,start:int,own:array<bigint>>>")
     table = []
 
-    def windows(s: Column, x: Column, k: int, band: int) -> Column:
-        """Candidate windows of one class under one band: shingles s, permuted hashes x."""
+    #: the shingles that the templates' band values stand for
+    anchors = {_signed(min(_signed(v ^ m) for v in own) ^ m) for c in classes for _, own in c.templates
+               for m in masks[:c.bands]}
+
+    def windows(s: Column, starts: Column, k: int, band: int) -> Column:
+        """Those of the windows of one class that have a template's value in one band."""
         c, values = classes[k], {}
         for name, own in c.templates:
             value = min(_signed(v ^ masks[band]) for v in own)
@@ -112,24 +121,35 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         table.extend((k, band, v, name, tuple(own)) for v, found in values.items() for name, own in found)
 
         def least(at: Column) -> Column:
-            return F.array_min(F.slice(x, at, c.window))
+            return F.array_min(F.transform(F.slice(s, at, c.window), lambda h: h.bitwiseXOR(F.lit(masks[band]))))
 
-        hit = F.filter(F.sequence(F.lit(1), F.size(s), F.lit(c.stride)), lambda at: least(at).isin(*values))
+        hit = F.filter(starts, lambda at: least(at).isin(*values))
         return F.transform(hit, lambda at: F.struct(
             F.lit(k).alias("class"), F.lit(band).alias("band"), least(at).alias("value"), at.alias("start"),
             F.slice(s, at, c.window).alias("own")))
 
-    def banded(s: Column, band: int) -> Column:
-        """Candidate windows of all classes under one band."""
-        mask = F.lit(masks[band])
-        # the one-element array gives the permuted hashes a name, so they are made once
-        return F.element_at(F.transform(F.array(F.transform(s, lambda h: h.bitwiseXOR(mask))), lambda x: F.concat(
-            empty, *[windows(s, x, k, band) for k, c in enumerate(classes) if band < c.bands])), 1)
-
-    bands = len(masks)
-    candidates = F.element_at(F.transform(
-        F.array(shingles(F.coalesce("text", F.lit("")))),
-        lambda s: F.when(F.size(s) > 0, F.concat(empty, *[banded(s, b) for b in range(bands)])).otherwise(empty)), 1)
+    def of_class(s: Column, at: Column, k: int) -> Column:
+        """Candidate windows of one class around the shingles at positions ``at``."""
+        c = classes[k]
+        around = F.array_distinct(F.flatten(F.transform(at, lambda p: F.transform(
+            F.sequence(F.greatest(F.lit(0), F.ceil((p - c.window) / F.lit(c.stride))).cast("int"),
+                       F.floor((p - 1) / F.lit(c.stride)).cast("int")), lambda m: m * c.stride + 1))))
+        return F.element_at(F.transform(F.array(around), lambda starts: F.concat(
+            empty, *[windows(s, starts, k, band) for band in range(c.bands)])), 1)
+
+    def found_in(s: Column) -> Column:
+        """Candidate windows of all classes in one text."""
+        def around(at: Column) -> Column:
+            return F.concat(empty, *[of_class(s, at, k) for k in range(len(classes))])
+
+        values = F.array(*[F.lit(v) for v in sorted(anchors)])
+        places = F.filter(F.transform(s, lambda h, i: F.when(h.isin(*anchors), i + 1)), lambda i: i.isNotNull())
+        return F.when(F.arrays_overlap(s, values), F.element_at(F.transform(F.array(places), around), 1)).otherwise(empty)
+
+    candidates = empty
+    if classes:
+        # one-element arrays give an expression a name, so it is worked out once
+        candidates = F.element_at(F.transform(F.array(shingles(F.coalesce("text", F.lit("")))), found_in), 1)
     found = docs.select("doc_id", F.explode(candidates).alias("c")).select("doc_id", "c.*")
     band_table = spark.createDataFrame(sorted(set(table))
                                        or [(-1, -1, 0, "", (0,))],
