@@ -1,15 +1,14 @@
 """Paired model comparison.
 
-Alignment is an aggregation, not a join: every prediction row is tagged
-with (pair_id, side) through a broadcast of the small pair registry, and one
-hash aggregate keyed by (pair_id, row key, actual label) brings A and B of
-the same row together. That is a single exchange over the prediction rows
-(a sort-merge join would exchange and sort both sides), the predictions are
-scanned once for all pairs, and the keys are unique per row so no key is
-hot. Aligning on the text (the reference's key, which repeats) first
-counts (text, label, side, prediction) map-side, so a text repeated in a
-third of all rows collapses before the shuffle and the A x B fan-out is
-carried as a multiplicity instead of emitted as row pairs.
+Alignment is an aggregation, not a join: the predictions of all models for
+one (row key, actual label) are brought together as a list of (model,
+prediction, count), and the registered pairs are expanded inside the row.
+The prediction rows are shuffled once however many pairs there are. The list
+holds models x labels entries at most, as equal predictions are counted
+first: by row id within the one exchange, by text (the reference's key,
+which repeats) map-side before it, so a text repeated in a third of all rows
+collapses and the A x B fan-out is carried as a multiplicity instead of
+emitted as row pairs.
 
 Every statistic afterwards (contingency, McNemar, F1, bootstrap) depends on
 the aligned data only through the cells (pair, actual, pred_a, pred_b, n):
@@ -19,6 +18,7 @@ at most pairs x labels^3 rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,76 +31,70 @@ from evalspark.operators.metrics import A, P, averages, class_stats, slice_summa
 from evalspark.operators.stats import histogram
 from evalspark.session import reliable_checkpoint
 
-# Target number of bootstrap replicates computed per task.
-REPS_PER_TASK = 2000
-
-# Registries above this many pairs are joined by shuffle instead of broadcast.
-MAX_BROADCAST_PAIRS = 100_000
+# Bootstrap replicates of one row of the replicate table: they share one copy of the pair's cells.
+REPS_PER_BLOCK = 250
 
 # Poisson(1) CDF at 0..5 (a weight is the number of these
 # thresholds below or at u, capped at 6).
 POISSON1_CDF = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)
 
 
-def _pair_sides(registry: DataFrame) -> DataFrame:
-    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("model_a").alias("model")),
-                              F.struct(F.lit("b").alias("side"), F.col("model_b").alias("model"))))
-    return registry.select("pair_id", sides.alias("s")).select("pair_id", "s.side", "s.model")
+@dataclass
+class Tagged:
+    """Prediction rows (model, key, actual, predicted) and the pairs to align: (pair_id, model_a, model_b)."""
 
+    rows: DataFrame
+    pairs: DataFrame
 
-def tag_sides(predictions: DataFrame, registry: DataFrame, key: str = "row_id") -> DataFrame:
-    """(pair_id, side, key, actual, predicted) for every pair a model is in.
 
-    The registry is broadcast only after its row count is checked."""
-    ps = _pair_sides(registry)
-    if registry.count() <= MAX_BROADCAST_PAIRS:
-        ps = F.broadcast(ps)
-    j = predictions.select("model", key, A, P).join(ps, "model")
-    return j.select("pair_id", "side", key, A, P)
+def tag_sides(predictions: DataFrame, registry: DataFrame, key: str = "row_id") -> Tagged:
+    """The predictions with every pair of the registry."""
+    return Tagged(predictions.select("model", key, A, P), registry.select("pair_id", "model_a", "model_b"))
 
 
-def tag_two(a: DataFrame, b: DataFrame, key: str = "row_id", pair_id: int = 1) -> DataFrame:
-    """Tag two prediction frames as sides a and b of one pair (no join)."""
-    ta = a.select(F.lit(pair_id).alias("pair_id"), F.lit("a").alias("side"), key, A, P)
-    tb = b.select(F.lit(pair_id).alias("pair_id"), F.lit("b").alias("side"), key, A, P)
-    return ta.unionByName(tb)
+def tag_two(a: DataFrame, b: DataFrame, key: str = "row_id", pair_id: int = 1) -> Tagged:
+    """Two prediction frames as the sides of one pair."""
+    rows = (a.select(F.lit("a").alias("model"), key, A, P)
+            .unionByName(b.select(F.lit("b").alias("model"), key, A, P)))
+    return Tagged(rows, a.sparkSession.createDataFrame([(pair_id, "a", "b")], "pair_id int, model_a string, model_b string"))
 
 
-def _keyed(tagged: DataFrame, key: str, mode: str) -> DataFrame:
-    """Per (pair_id, key, actual): A/B predictions and multiplicities.
+def _keyed(tagged: Tagged, key: str, mode: str) -> DataFrame:
+    """Per (pair_id, key, actual): A/B predictions, row counts of each side and multiplicity.
 
-    row_id mode: the key identifies a row within a model, so one aggregate
-    yields pred_a, pred_b and the presence counts.
-    text mode: (side, prediction) counts per key, then the bounded list
-    (<= 2 x labels entries) of them per key.
+    Combinations of both sides come with cnt_a = cnt_b = 0, the rows of one
+    side with a null prediction of the other and n = 0.
     """
-    g = ["pair_id", key, A]
-    is_a, is_b = F.col("side") == "a", F.col("side") == "b"
-    if mode == "row_id":
-        k = tagged.groupBy(*g).agg(F.max(F.when(is_a, F.col(P))).alias("pred_a"),
-                                   F.max(F.when(is_b, F.col(P))).alias("pred_b"),
-                                   F.count_if(is_a).alias("cnt_a"), F.count_if(is_b).alias("cnt_b"))
-        recs = F.array(F.struct(F.col("pred_a"), F.col("pred_b"), F.col("cnt_a"), F.col("cnt_b"),
-                                (F.col("cnt_a") * F.col("cnt_b")).alias("n")))
-        return k.select(*g, F.explode(recs).alias("r")).select(*g, "r.*")
-    if mode != "text":
+    if mode not in ("row_id", "text"):
         raise ValueError(f"unknown alignment mode {mode!r}")
-    c = tagged.groupBy(*g, "side", P).agg(F.count(F.lit(1)).alias("cnt"))
-    lst = c.groupBy(*g).agg(F.collect_list(F.struct("side", P, "cnt")).alias("l"))
-    la = F.filter("l", lambda x: x["side"] == "a")
-    lb = F.filter("l", lambda x: x["side"] == "b")
-    null_i, zero = F.lit(None).cast("int"), F.lit(0).cast("bigint")
-    both = F.flatten(F.transform(la, lambda x: F.transform(lb, lambda y: F.struct(
-        x[P].alias("pred_a"), y[P].alias("pred_b"), zero.alias("cnt_a"), zero.alias("cnt_b"),
-        (x["cnt"] * y["cnt"]).alias("n")))))
-    only_a = F.transform(la, lambda x: F.struct(x[P].alias("pred_a"), null_i.alias("pred_b"),
-                                                x["cnt"].alias("cnt_a"), zero.alias("cnt_b"), zero.alias("n")))
-    only_b = F.transform(lb, lambda y: F.struct(null_i.alias("pred_a"), y[P].alias("pred_b"),
-                                                zero.alias("cnt_a"), y["cnt"].alias("cnt_b"), zero.alias("n")))
-    return lst.select(*g, F.explode(F.concat(both, only_a, only_b)).alias("r")).select(*g, "r.*")
-
-
-def aligned_rows(tagged: DataFrame, key: str = "row_id", mode: str = "row_id") -> DataFrame:
+    rows = tagged.rows
+    if mode == "row_id":  # ids hardly repeat: nothing to gain from counting before the exchange
+        rows = rows.repartition(key, A)
+    counts = rows.groupBy("model", key, A, P).agg(F.count(F.lit(1)).alias("cnt"))
+    lists = counts.groupBy(key, A).agg(F.collect_list(F.struct("model", P, "cnt")).alias("l"))
+    # the registry is the caller's list of pairs; the pairs of the models at hand are expanded in the row
+    pairs = tagged.pairs.agg(F.collect_list(F.struct("pair_id", "model_a", "model_b"))).scalar()
+    zero = F.lit(0).cast("bigint")
+    none = F.lit(None).cast(tagged.rows.schema[P].dataType)
+
+    def entry(pair, pred_a, pred_b, cnt_a, cnt_b, n):
+        return F.struct(pair["pair_id"].alias("pair_id"), pred_a.alias("pred_a"), pred_b.alias("pred_b"),
+                        cnt_a.alias("cnt_a"), cnt_b.alias("cnt_b"), n.alias("n"))
+
+    def expand(pair):
+        side_a = F.filter("l", lambda x: x["model"] == pair["model_a"])
+        side_b = F.filter("l", lambda y: y["model"] == pair["model_b"])
+        both = F.flatten(F.transform(side_a, lambda x: F.transform(side_b, lambda y: entry(
+            pair, x[P], y[P], zero, zero, x["cnt"] * y["cnt"]))))
+        only_a = F.transform(side_a, lambda x: entry(pair, x[P], none, x["cnt"], zero, zero))
+        only_b = F.transform(side_b, lambda y: entry(pair, none, y[P], zero, y["cnt"], zero))
+        return F.concat(both, only_a, only_b)
+
+    return (lists.withColumn("pairs", pairs).select(key, A, F.explode(F.flatten(F.transform("pairs", expand))).alias("r"))
+            .select("r.pair_id", key, A, "r.pred_a", "r.pred_b", "r.cnt_a", "r.cnt_b", "r.n"))
+
+
+def aligned_rows(tagged: Tagged, key: str = "row_id", mode: str = "row_id") -> DataFrame:
     """(pair_id, key, actual_label, pred_a, pred_b, n) for keys present
     in both models; n is the number of A x B row combinations (1 when the
     key is a row id)."""
@@ -109,10 +103,14 @@ def aligned_rows(tagged: DataFrame, key: str = "row_id", mode: str = "row_id") -
     return k.select("pair_id", key, A, "pred_a", "pred_b", F.col("n").cast("bigint").alias("n"))
 
 
-def paired_cells(tagged: DataFrame, key: str = "row_id", mode: str = "row_id") -> DataFrame:
+def paired_cells(tagged: Tagged, key: str = "row_id", mode: str = "row_id") -> DataFrame:
     """Cells (pair_id, actual, pred_a, pred_b, n, n_a, n_b): n counts aligned
     rows; n_a / n_b count all rows of each side (the unmatched ones sit in
-    cells with a null prediction of the other side)."""
+    cells with a null prediction of the other side). Texts are shuffled as
+    128-bit hashes."""
+    if mode == "text":
+        hashed = tagged.rows.withColumn(key, F.unhex(F.md5(F.col(key))))
+        tagged = Tagged(hashed, tagged.pairs)
     k = _keyed(tagged, key, mode)
     return k.groupBy("pair_id", A, "pred_a", "pred_b").agg(
         F.sum("n").alias("n"), F.sum("cnt_a").alias("n_a"), F.sum("cnt_b").alias("n_b"))
@@ -184,20 +182,15 @@ def _delta_f1_batch(a, pa, pb, counts):
 def _bootstrap_fn(seed: int):
     def run(batches):
         for pdf in batches:
-            out = []
-            for pid, g in pdf.groupby("pair_id", sort=False):
-                cells = g["cells"].iloc[0]
+            for pid, first, last, cells in zip(pdf["pair_id"], pdf["first"], pdf["last"], pdf["cells"]):
                 a = np.array([x["a"] for x in cells]); pa = np.array([x["pa"] for x in cells])
                 pb = np.array([x["pb"] for x in cells]); n = np.array([x["n"] for x in cells], dtype=float)
-                total = int(n.sum())
                 probs = n / n.sum()
-                reps = g["rep"].to_numpy()
-                counts = np.stack([np.random.default_rng([seed, int(pid), int(r)]).multinomial(total, probs)
+                reps = np.arange(first, last)
+                counts = np.stack([np.random.default_rng([seed, int(pid), int(r)]).multinomial(int(n.sum()), probs)
                                    for r in reps]).astype(float)
-                out.append(pd.DataFrame({"pair_id": g["pair_id"].to_numpy(), "rep": reps,
-                                         "delta_f1": _delta_f1_batch(a, pa, pb, counts)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({"pair_id": np.full(len(reps), pid), "rep": reps.astype(np.int32),
+                                    "delta_f1": _delta_f1_batch(a, pa, pb, counts)})
     return run
 
 
@@ -207,18 +200,23 @@ def bootstrap_delta_f1(cells: DataFrame, reps: int = 2000, seed: int = 42,
 
     Resampling the aligned rows with replacement is exactly a multinomial
     draw over the paired cells, so each replicate costs O(cells), not O(rows).
-    Replicates are rows (pair_id, rep) spread over tasks; each carries its
-    pair's cells (<= labels^3 entries) and draws from a generator seeded by
-    (seed, pair_id, rep), so the result does not depend on partitioning.
+    A row holds a block of replicates of a pair with one sorted copy of its
+    cells (<= labels^3 entries); every replicate draws from a generator
+    seeded by (seed, pair_id, rep), so the result depends neither on the
+    order nor on the partitioning of the cells.
     """
     c = cells.where(F.col("pred_a").isNotNull() & F.col("pred_b").isNotNull() & (F.col("n") > 0))
-    per_pair = c.groupBy("pair_id").agg(F.collect_list(F.struct(
+    per_pair = c.groupBy(F.col("pair_id").cast("long").alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct(
         F.col(A).cast("long").alias("a"), F.col("pred_a").cast("long").alias("pa"),
-        F.col("pred_b").cast("long").alias("pb"), F.col("n").cast("long").alias("n"))).alias("cells"))
-    rows = per_pair.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "cells")
-    nparts = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(nparts, "pair_id", "rep")
-    return rows.mapInPandas(_bootstrap_fn(seed), "pair_id int, rep int, delta_f1 double")
+        F.col("pred_b").cast("long").alias("pb"), F.col("n").cast("long").alias("n")))).alias("cells"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REPS_PER_BLOCK)))
+    blocks = per_pair.select("pair_id", first.alias("first"), "cells").withColumn(
+        "last", F.least(F.col("first") + REPS_PER_BLOCK, F.lit(reps)))
+    keys = ["pair_id", "first"]
+    blocks = blocks.repartition(partitions, *keys) if partitions else blocks.repartition(*keys)
+    out = blocks.select("pair_id", "first", "last", "cells").mapInPandas(
+        _bootstrap_fn(seed), "pair_id long, rep int, delta_f1 double")
+    return out.withColumn("pair_id", F.col("pair_id").cast(cells.schema["pair_id"].dataType))
 
 
 def poisson1_weight(u) -> F.Column:
@@ -227,15 +225,19 @@ def poisson1_weight(u) -> F.Column:
 
 def bootstrap_delta_f1_hash(aligned: DataFrame, reps: int = 100, seed: int = 42, key: str = "row_id") -> DataFrame:
     """C6h: the same statistic with Poisson(1) weights from
-    md5(seed:pair:rep:key); rows x reps are exploded and summed into
-    weighted cells with map-side partial aggregation, so the shuffle carries
-    pairs x reps x labels^3 rows per task. Meant as the SQL-checkable
-    variant (small ``reps``)."""
-    x = aligned.select("pair_id", key, A, "pred_a", "pred_b", "n",
-                       F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    u = hash_uniform(F.concat_ws(":", F.lit(str(seed)), F.col("pair_id").cast("string"),
-                                 F.col("rep").cast("string"), F.col(key).cast("string")))
-    x = x.withColumn("w", poisson1_weight(u) * F.col("n"))
+    md5(seed:pair:rep:key), for keys that stand for several units (``n`` > 1,
+    as texts do) from md5(seed:pair:rep:key:pred_a:pred_b:unit), one for
+    each unit. Units x reps are exploded and summed into weighted cells with
+    map-side partial aggregation, so the shuffle carries pairs x reps x
+    labels^3 rows per task. Meant as the SQL-checkable variant."""
+    unit = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    x = aligned.select("pair_id", key, A, "pred_a", "pred_b", "n", unit.alias("unit"))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    parts = [F.lit(str(seed)), F.col("pair_id").cast("string"), F.col("rep").cast("string"), F.col(key).cast("string")]
+    if key != "row_id":
+        parts += [F.col(c).cast("string") for c in ("pred_a", "pred_b", "unit")]
+    u = hash_uniform(F.concat_ws(":", *parts))
+    x = x.withColumn("w", poisson1_weight(u))
     cells = x.groupBy("pair_id", "rep", A, "pred_a", "pred_b").agg(F.sum("w").alias("n"))
     f = paired_f1(cells, ["pair_id", "rep"])
     return f.select("pair_id", "rep", (F.col("f1_b") - F.col("f1_a")).alias("delta_f1"))
@@ -276,12 +278,7 @@ def compare_all(predictions: DataFrame, registry: DataFrame, reps: int = 2000, s
     cont = mcnemar(paired_contingency(cells), with_p)
     f1 = paired_f1(cells)
     if method == "multinomial":
-        # about REPS_PER_TASK replicate rows per task: tiny sweeps do not start
-        # a Python worker per shuffle partition, large ones spread out
-        n_pairs = registry.count()
-        max_parts = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(max_parts, -(-n_pairs * reps // REPS_PER_TASK)))
-        deltas = bootstrap_delta_f1(cells, reps, seed, partitions=parts)
+        deltas = bootstrap_delta_f1(cells, reps, seed)
     else:
         deltas = bootstrap_delta_f1_hash(aligned_rows(tagged, key, mode), reps, seed, key)
     summ = bootstrap_summary(deltas)
@@ -320,7 +317,9 @@ def ablation_deltas(preds: DataFrame, reference_model: str, tol: float = 0.01) -
 
 def bootstrap_histogram(deltas: DataFrame, bins: int = 50) -> DataFrame:
     """Histogram of the replicate deltas per pair, with the mean, the CI
-    and whether 0 lies inside it."""
+    and whether 0 lies inside it. The replicates feed several branches and
+    are checkpointed once."""
+    deltas = reliable_checkpoint(deltas)
     h = histogram(deltas, "delta_f1", bins, by=["pair_id"])
     s = bootstrap_summary(deltas).select("pair_id", "delta_mean", "ci_lower", "ci_upper",
                                          ((F.col("ci_lower") <= 0) & (F.col("ci_upper") >= 0)).alias("zero_inside"))

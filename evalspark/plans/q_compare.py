@@ -11,7 +11,7 @@ from evalspark.plans.q_metrics import class_stats_sql, summary_sql
 from evalspark.plans.registry import register
 from evalspark.sources.fixtures import Fixtures
 
-REPS_SQL = 100
+REPS_SQL = 2000
 
 
 def paired_f1_sql(cells: str, keys: list[str], prefix: str = "p") -> list[tuple[str, str]]:
@@ -99,6 +99,44 @@ def q_j2t(spark, sf):
     return C.aligned_rows(C.tag_two(p.where("model = 'A'"), p.where("model = 'B'"), key="text"), "text", "text")
 
 
+_REPEATED = """
+select model, row_id // 3 as row_id, actual_label, predicted_label, count(*) as c from fx_predictions group by all"""
+
+
+@register("J3_align_duplicate_ids", sql(["fx_predictions", "fx_registry"], ("d", _REPEATED), final="""
+select r.pair_id, a.row_id, a.actual_label, a.predicted_label as pred_a, b.predicted_label as pred_b, cast(a.c * b.c as bigint) as n
+from fx_registry r join d a on a.model = r.model_a
+join d b on b.model = r.model_b and b.row_id = a.row_id and b.actual_label = a.actual_label"""))
+def q_j3d(spark, sf):
+    """Row ids that repeat: every combination of equal predictions is counted."""
+    fx = _fx(spark, sf)
+    repeated = fx.predictions.withColumn("row_id", F.floor(F.col("row_id") / 3))
+    return C.aligned_rows(C.tag_sides(repeated, fx.registry))
+
+
+ALIGNED_TEXT = ("al", """
+select r.pair_id, a.text, a.actual_label, a.p as pred_a, b.p as pred_b, a.c * b.c as n
+from fx_registry r
+join (select model, text, actual_label, predicted_label as p, count(*) as c from fx_predictions group by all) a on a.model = r.model_a
+join (select model, text, actual_label, predicted_label as p, count(*) as c from fx_predictions group by all) b
+  on b.model = r.model_b and b.text = a.text and b.actual_label = a.actual_label""")
+BOOT_TEXT = [("units", "select al.*, unnest(range(1, n + 1)) as unit from al"), ("bx", f"""
+select units.*, cast(r.rep as integer) as rep,
+       {U("concat_ws(':', '42', cast(pair_id as varchar), cast(r.rep as varchar), text, cast(pred_a as varchar), cast(pred_b as varchar), cast(unit as varchar))")} as u
+from units cross join range(0, 200) r(rep)"""),
+             ("bcells", f"select pair_id, rep, actual_label, pred_a, pred_b, sum({_W}) as n from bx group by all"),
+             *paired_f1_sql("bcells", ["pair_id", "rep"]),
+             ("deltas", "select pair_id, rep, f1_b - f1_a as delta_f1 from pf1")]
+
+
+@register("C7_bootstrap_summary_text_key", sql(["fx_predictions", "fx_registry"], ALIGNED_TEXT, *BOOT_TEXT, SUMM,
+                                               final="select * from bs"))
+def q_c7t(spark, sf):
+    fx = _fx(spark, sf)
+    aligned = C.aligned_rows(C.tag_sides(fx.predictions, fx.registry, "text"), "text", "text")
+    return C.bootstrap_summary(C.bootstrap_delta_f1_hash(aligned, 200, key="text"))
+
+
 @register("J3_align_all", sql(["fx_predictions", "fx_registry"], ALIGNED, final="select * from al"))
 def q_j3(spark, sf):
     fx = _fx(spark, sf)

@@ -96,3 +96,37 @@ def test_text_alignment_fans_out_as_multiplicity(spark):
     assert al.count() == 4
     cont = C.paired_contingency(C.paired_cells(t, "text", "text")).first()
     assert cont["n_common"] == 6 and cont["n_a"] == 2 and cont["n_b"] == 3
+
+
+def test_repeated_row_ids_are_counted(spark):
+    p = _preds(spark, [("A", 1, "x", 0, 0), ("A", 1, "x", 0, 1), ("B", 1, "x", 0, 1)])
+    cont = C.paired_contingency(C.paired_cells(C.tag_sides(p, _reg(spark)))).first()
+    assert (cont["n_common"], cont["both_wrong"], cont["b"], cont["c"]) == (2, 1, 1, 0)
+    assert (cont["n_a"], cont["n_b"]) == (2, 1)
+
+
+def test_bootstrap_independent_of_cell_order(spark):
+    cells = [(1, 0, 0, 0, 50), (1, 0, 0, 1, 7), (1, 0, 1, 0, 9), (1, 1, 1, 1, 30), (1, 1, 0, 1, 5)]
+    schema = "pair_id long, actual_label int, pred_a int, pred_b int, n long"
+    a = C.bootstrap_delta_f1(spark.createDataFrame(cells, schema), 600, 3)
+    b = C.bootstrap_delta_f1(spark.createDataFrame(cells[::-1], schema).repartition(5), 600, 3, partitions=2)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a.count() == 600
+
+
+@pytest.mark.parametrize("key", ["row_id", "text"])
+def test_bootstrap_spread_agrees_in_both_key_modes(spark, key):
+    p = _random_pair(spark)
+    tagged = C.tag_sides(p, _reg(spark), key)
+    m = C.bootstrap_summary(C.bootstrap_delta_f1(C.paired_cells(tagged, key, key), 2000, 42)).first()
+    h = C.bootstrap_summary(C.bootstrap_delta_f1_hash(C.aligned_rows(tagged, key, key), 1000, 42, key)).first()
+    assert abs(m["delta_std"] - h["delta_std"]) / m["delta_std"] < 0.1
+
+
+def test_alignment_shuffles_once_for_any_number_of_pairs(spark):
+    p = _random_pair(spark)
+    for n in (3, 30):
+        reg = spark.createDataFrame([(i, "A", "B", "x", "t") for i in range(n)],
+                                    "pair_id int, model_a string, model_b string, name string, category string")
+        plan = C.aligned_rows(C.tag_sides(p, reg))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(row_id") == 1 and "Join" not in plan

@@ -32,18 +32,20 @@ def test_metrics_one_exchange_over_rows(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_orderpriority:string>" in p
 
 
-def test_alignment_broadcasts_registry_and_aggregates_once(spark):
+def test_alignment_aggregates_once(spark):
     fx = Fixtures(spark, SF001)
     cells = C.paired_cells(C.tag_sides(fx.predictions3, fx.registry))
     p = plan(cells)
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
-    assert len(re.findall(r"Exchange hashpartitioning\(pair_id#\d+, row_id", p)) == 1
+    assert "Join" not in p  # the registry is expanded inside the rows
+    assert len(re.findall(r"Exchange hashpartitioning\(row_id#\d+", p)) == 1
 
 
 def test_tfidf_broadcasts_bounded_vocabulary(spark):
     docs = Fixtures(spark, SF001).table("documents").select(F.col("doc_id").alias("row_id"), "text")
     p = plan(T.tfidf(docs, max_features=1000))
     assert "BroadcastHashJoin" in p
+    assert not re.search(r"Exchange hashpartitioning\(row_id#\d+L?, term", p)
+    assert not re.search(r"Exchange hashpartitioning\(row_id#\d+L?, term", plan(T.term_counts(docs)))
 
 
 def test_top_failures_window_group_limit(spark):
