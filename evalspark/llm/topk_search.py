@@ -145,7 +145,7 @@ def top_k_search(vectors: DataFrame, is_query: F.Column, k: int = 5, candidate_b
                  query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest integer inner product with each query row.
 
-    Components become floor(256 * x). Rows of ``vectors`` (vec_id,
+    ``is_query`` is a condition on the column vec_id, by name. Components become floor(256 * x). Rows of ``vectors`` (vec_id,
     embedding; other columns are ignored) with a null id, a null vector or a
     null or non-finite component take no part. Shorter vectors are filled up
     with zeros. A query isn't matched with rows of its own id; other rows
