@@ -77,10 +77,10 @@ def q_x1(spark, sf):
 @register("X4b_explain_shap_sampled")
 def q_x4b(spark, sf):
     from evalspark.operators.sample import sample_top_groups
-    s = sample_top_groups(Fixtures(spark, sf).samples, 5, 1)
-    return X.explain_shap_sampled(s.select("row_id", "text"), _scorer(), permutations=4)
+    s = sample_top_groups(Fixtures(spark, sf).samples, 5, 3)
+    return X.explain_shap_sampled(s.select("row_id", "text"), _scorer())
 
 
 @register("X5_explain_by_group")
 def q_x5(spark, sf):
-    return X.explain_by_group(Fixtures(spark, sf).samples, _scorer(), 5, 3, num_samples=500)
+    return X.explain_by_group(Fixtures(spark, sf).samples, _scorer(), 5, 3, num_samples=1000)
