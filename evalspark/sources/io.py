@@ -109,7 +109,8 @@ def comparison_report_lines(compare: DataFrame) -> DataFrame:
         ("'Rows A: %d  rows B: %d  aligned: %d'", ["n_a", "n_b", "n_common"]),
         ("'Both correct: %d  both wrong: %d  only A correct (b): %d  only B correct (c): %d'",
          ["both_correct", "both_wrong", "b", "c"]),
-        ("'McNemar chi2 = %.4f  %s'", ["chi2", "stars"]),
+        (("'McNemar chi2 = %.4f  p = %.6f  %s'", ["chi2", "p_value", "stars"]) if "p_value" in compare.columns
+         else ("'McNemar chi2 = %.4f  %s'", ["chi2", "stars"])),
         ("'F1 A = %.4f  F1 B = %.4f  delta (B - A) = %.4f'", ["f1_a", "f1_b", "delta_f1"]),
         ("'Bootstrap mean delta %.4f  std %.4f  95%% CI [%.4f, %.4f]  %s'",
          ["delta_mean", "delta_std", "ci_lower", "ci_upper", "ci_verdict"]),
@@ -119,3 +120,70 @@ def comparison_report_lines(compare: DataFrame) -> DataFrame:
                               F.expr(f"format_string({f}, {', '.join(cols)})").alias("line"))
                      for i, (f, cols) in enumerate(fmt)])
     return compare.select("pair_id", F.explode(rows).alias("r")).select("pair_id", "r.line_no", "r.line")
+
+
+def comparison_summary_lines(compare: DataFrame) -> DataFrame:
+    """Summary of C9 rows by category: pairs, successes and failures (pairs
+    without common rows), then one line per pair. Columns category, line_no, line."""
+    from pyspark.sql import Window
+
+    ok = F.col("status") == "ok"
+    head = compare.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok")).select(
+        "category", F.lit(0).cast("long").alias("line_no"),
+        F.format_string("%s: %d comparisons, %d done, %d failed", "category", "n", "ok", F.col("n") - F.col("ok")).alias("line"))
+    place = F.row_number().over(Window.partitionBy("category").orderBy("pair_id")).cast("long")
+    pairs = compare.select("category", place.alias("line_no"), F.format_string(
+        "  %s: %s", "name", F.when(ok, F.col("verdict")).otherwise(F.col("status"))).alias("line"))
+    return head.unionByName(pairs)
+
+
+def _numbered(df: DataFrame, section: int, order, line) -> DataFrame:
+    """(model, line_no, line): lines of a section behind those of lower sections."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("model").orderBy(*order))
+    return df.select("model", (F.lit(section) * 1_000_000 + place).cast("long").alias("line_no"), line.alias("line"))
+
+
+def confusion_report_lines(cells: DataFrame) -> DataFrame:
+    """Report lines of the confusion matrix of each model (M3, E6): counts
+    with their share of the true class, then total, correct and errors of
+    every class and its confusions."""
+    from evalspark.operators.errors import errors_by_class, main_confusions
+    from evalspark.operators.metrics import A, P, confusion_matrix_normalized
+
+    a, p = F.col(A).cast("string"), F.col(P).cast("string")
+    matrix = _numbered(confusion_matrix_normalized(cells), 1, [A, P], F.format_string(
+        "Actual %s, predicted %s: %d (%.2f%%)", a, p, "n", F.col("row_share") * 100))
+    classes = _numbered(errors_by_class(cells), 2, [A], F.format_string(
+        "Class %s: %d rows, %d correct (%.2f%%), %d errors", a, "total", "correct", F.col("accuracy") * 100, "errors"))
+    wrong = _numbered(main_confusions(cells), 3, [F.col("n").desc(), A, P], F.format_string(
+        "Class %s taken for %s: %d (%.2f%%)", a, p, "n", F.col("share") * 100))
+    return matrix.unionByName(classes).unionByName(wrong)
+
+
+def variance_report_lines(group_stats: DataFrame, k: int = 5) -> DataFrame:
+    """Report lines of the spread of F1 over the groups (G2-G4) from G1 rows."""
+    from evalspark.operators.groups import best_worst_groups, group_dispersion, groups_vs_mean
+
+    spread = _numbered(group_dispersion(group_stats), 1, ["model"], F.format_string(
+        "%d groups: mean F1 %.4f, std %.4f, min %.4f, max %.4f, range %.4f, CV %.2f%%",
+        "n_groups", "mean", "std", "min", "max", "range", "cv_pct"))
+    each = _numbered(groups_vs_mean(group_stats), 2, [F.col("delta").desc(), "grp"], F.format_string(
+        "%s: F1 %.4f, %+.4f to the mean (%s)", "grp", "f1", "delta",
+        F.when(F.col("above_mean"), "above").otherwise("below")))
+    ends = _numbered(best_worst_groups(group_stats, k), 3, ["side", "rank"], F.format_string(
+        "%s %d: %s, F1 %.4f, accuracy %.4f, %d rows, %d errors",
+        "side", "rank", "grp", "f1", "accuracy", "n_examples", "n_errors"))
+    return spread.unionByName(each).unionByName(ends)
+
+
+def failure_report_lines(preds: DataFrame, n: int = 20) -> DataFrame:
+    """Report lines of the most confident errors of each model."""
+    from evalspark.operators.errors import failure_digest
+    from evalspark.operators.metrics import A, P
+
+    return _numbered(failure_digest(preds, n), 1, ["case_no"], F.format_string(
+        "%d. [%s] actual %s, predicted %s, confidence %s: %s", "case_no", F.coalesce("grp", F.lit("-")),
+        F.col(A).cast("string"), F.col(P).cast("string"),
+        F.coalesce(F.format_string("%.4f", "confidence"), F.lit("-")), "snippet"))

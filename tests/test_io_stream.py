@@ -91,3 +91,31 @@ def test_text_report_and_model_round_trip(spark, tmpdir_fresh):
     b = MD.predict(MD.load_model(path), train, keep=["row_id"]).orderBy("row_id").collect()
     assert a == b
     assert sum(r["predicted_label"] == (r["row_id"] % 2) for r in a) == 40
+
+
+def test_reports_from_golden_cells(spark):
+    from evalspark.operators.groups import group_stats
+    from evalspark.operators.metrics import confusion_cells
+
+    from tests.conftest import preds_from_cells
+
+    p = preds_from_cells(spark, {(0, 0): 603, (0, 1): 68, (1, 0): 86, (1, 1): 249}, grp="g")
+    cells = confusion_cells(p)
+    lines = [r["line"] for r in IO.confusion_report_lines(cells).orderBy("line_no").collect()]
+    assert lines[:2] == ["Actual 0, predicted 0: 603 (89.87%)", "Actual 0, predicted 1: 68 (10.13%)"]
+    assert "Class 1: 335 rows, 249 correct (74.33%), 86 errors" in lines
+    assert lines[-2:] == ["Class 1 taken for 0: 86 (25.67%)", "Class 0 taken for 1: 68 (10.13%)"]
+    spread = [r["line"] for r in IO.variance_report_lines(group_stats(cells)).orderBy("line_no").collect()]
+    assert spread[0] == "1 groups: mean F1 0.8253, std 0.0000, min 0.8253, max 0.8253, range 0.0000, CV 0.00%"
+    assert spread[1] == "g: F1 0.8253, +0.0000 to the mean (above)" and len(spread) == 4
+    cases = [r["line"] for r in IO.failure_report_lines(p, 3).orderBy("line_no").collect()]
+    assert len(cases) == 3 and cases[0].startswith("1. [g] actual 0, predicted 1, confidence 0.9000: t603")
+
+
+def test_comparison_summary_by_category(spark):
+    c = spark.createDataFrame([(1, "A vs B", "x", "ok", "B significantly better"), (2, "A vs C", "x", "no_common_rows", None),
+                               (3, "B vs C", "y", "ok", "no significant difference")],
+                              "pair_id int, name string, category string, status string, verdict string")
+    got = [r["line"] for r in IO.comparison_summary_lines(c).orderBy("category", "line_no").collect()]
+    assert got == ["x: 2 comparisons, 1 done, 1 failed", "  A vs B: B significantly better", "  A vs C: no_common_rows",
+                   "y: 1 comparisons, 1 done, 0 failed", "  B vs C: no significant difference"]
