@@ -140,6 +140,7 @@ def explain_lime(df: DataFrame, scorer, num_samples: int = 1000, num_features: i
     f = _features(df, col, key)
     s = f.select(key, "_tok", "_tidx", "_feat", "_d",
                  F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("s"))
+    s = s.repartition(key, "s")  # the samples of a few instances are built and scored in many tasks
     dm1 = F.greatest(F.col("_d") - 1, F.lit(1))
     r = F.when((F.col("s") == 0) | (F.col("_d") < 2), F.lit(0)).otherwise(
         1 + F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("s")), dm1.cast("long")).cast("int"))
@@ -157,11 +158,8 @@ def explain_lime(df: DataFrame, scorer, num_samples: int = 1000, num_features: i
     dist = (F.lit(1.0) - F.sqrt(kept_frac)) * 100.0
     s = s.withColumn("_kernel", F.sqrt(F.exp(-(dist * dist) / (kernel_width ** 2))))
     s = s.withColumn("_feat", F.when(F.col("s") == 0, F.col("_feat")))
-    s = s.repartition(key)  # keep an instance's samples together for the per-instance fit
-    meta = s.select(key, "s", "_removed", "_kernel", "_feat", "_text")
-    scores = _scorer_probs(scorer, meta.select(key, "s", "_text"), [key, "s"])
-    scored = meta.drop("_text").join(scores, [key, "s"])
-    scored = reliable_checkpoint(scored)  # cut lineage: scoring is the expensive step
+    keep = [key, "s", "_removed", "_kernel", "_feat"]  # they ride along with the scorer: no join afterwards
+    scored = reliable_checkpoint(_scorer_probs(scorer, s.select(*keep, "_text"), keep))  # scoring is the expensive step
     schema = f"{key} long, pos int, token string, weight double"
     return scored.groupBy(key).applyInPandas(_lime_fit_fn(num_features, alpha, key), schema)
 
@@ -187,13 +185,13 @@ def explain_shap_sampled(df: DataFrame, scorer, permutations: int = 8, seed: int
                                                lambda v, i: F.struct(v.alias("v"), i.alias("i")))),
                       lambda e: e["i"])
     x = x.withColumn("_rank", inv)
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("k"))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("k")).repartition(key, "p", "k")
     kept = F.filter(F.col("_tok"), lambda t, i: F.element_at("_rank", F.element_at("_tidx", i + 1) + 1) < F.col("k"))
     x = x.withColumn("_text", F.array_join(kept, " "))
     x = x.withColumn("_added", F.when(F.col("k") > 0, F.element_at("_perm", F.col("k"))))
-    meta = x.select(key, "p", "k", "_added", "_feat", "_text")
-    scores = _scorer_probs(scorer, meta.select(key, "p", "k", "_text"), [key, "p", "k"])
-    sc = reliable_checkpoint(meta.drop("_text").join(scores, [key, "p", "k"]))
+    x = x.withColumn("_feat", F.when((F.col("p") == 0) & (F.col("k") == 0), F.col("_feat")))
+    keep = [key, "p", "k", "_added", "_feat"]  # they ride along with the scorer: no join afterwards
+    sc = reliable_checkpoint(_scorer_probs(scorer, x.select(*keep, "_text"), keep))
     w = Window.partitionBy(key, "p").orderBy("k")
     contrib = sc.withColumn("_delta", F.col("_score") - F.lag("_score").over(w)).where(F.col("k") > 0)
     phi = contrib.groupBy(key, "_added").agg(F.avg("_delta").alias("phi"))
