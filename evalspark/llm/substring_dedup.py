@@ -181,7 +181,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_id = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     blocks = with_id.mapInArrow(_blocks(window), "key long, block long, doc_id long")
-    # written first, so that the joins meet plain exchanges, whose hot keys can be split
+    # written first, so that the join meets plain exchanges, whose hot keys can be split
     index = staged(blocks.groupBy("key")
                    .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
                         (F.min("block") != F.max("block")).alias("mixed"))
@@ -191,13 +191,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                    .agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"),
                         F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("ends")), "rlz-blocks")
     # positions belong to a text: rows with equal ids can hold different ones
-    row = F.xxhash64("text").alias("row")
+    row = F.hash("text").alias("row")
     at_ends = staged(with_id.join(found.select("doc_id", "ends").where(F.size("ends") > 0), "doc_id")
                      .select("doc_id", row, "text", "ends")
-                     .mapInArrow(_end_windows(window), "h1 long, h2 long, doc_id long, row long, pos int"), "rlz-ends")
-    first = staged(at_ends.groupBy("h1", "h2")
-                   .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-                   .where("first_doc < last_doc").drop("last_doc"), "rlz-windows")
+                     .mapInArrow(_end_windows(window), "h1 long, h2 long, doc_id long, row int, pos int"), "rlz-ends")
+    first = (at_ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+             .where("first_doc < last_doc").drop("last_doc"))
     copied = (at_ends.join(first, ["h1", "h2"]).where("doc_id > first_doc")
               .groupBy("doc_id", "row").agg(F.collect_set("pos").alias("positions")))
     return (docs.withColumn("row", row).join(found.select("doc_id", "whole"), "doc_id", "left")
