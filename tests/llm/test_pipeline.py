@@ -1,6 +1,11 @@
+import random
+
 import corpus_pipeline
 from evalspark.llm.queries import ORACLE, QUERIES
 
+from .helpers import frame, prose
+from .test_dedup import brute_join
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -33,3 +38,25 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_links_five_word_shingles_from_80_percent(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g, n in enumerate((60, 150, 400)):
+        base = prose(200 + g, n, 2000).split()
+        rows.append((1000 * g, " ".join(base)))
+        for c in range(1, 25):
+            copy = list(base)
+            if c % 2:  # scattered words
+                for k in rnd.sample(range(n), max(1, round(n * c / 1000))):
+                    copy[k] = f"n{rnd.randrange(10**6)}"
+            else:  # one stretch
+                k, m = rnd.randrange(n // 2), max(1, round(n * c / 200))
+                copy[k:k + m] = [f"n{rnd.randrange(10**6)}" for _ in range(m)]
+            rows.append((1000 * g + c, " ".join(copy)))
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows).repartition(4), SF).collect()}
+    want = {i: first for i, _, first, _ in brute_join(rows, 5, 80)}
+    assert got == {i for i, first in want.items() if i == first}
+    looser = {i for i, _, first, _ in brute_join(rows, 3, 90) if i == first}
+    assert got < looser and len(looser - got) >= 10 and len(got) > 3  # pairs between the two settings, pairs below both
