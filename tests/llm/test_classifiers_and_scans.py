@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from evalspark.llm import license_scan
-from evalspark.llm.decontaminate import ItemIndex, best_match, drop_leaks, find_leaks, item_passes, scan
+from evalspark.llm.decontaminate import (ItemIndex, best_match, drop_leaks, edits_of, find_leaks, item_passes,
+                                         repeats_for, scan)
 from evalspark.llm.license_scan import TEMPLATES, scan_licenses
 from evalspark.llm.quality import BAD, GOOD, LabelModel, fit_quality, keep_good, score_quality, votes
 from evalspark.llm.toxicity import Ftrl, fit_toxicity, score_toxicity, toxicity
@@ -150,6 +151,48 @@ def test_leaks_reach_the_target_recall():
         assert found >= 0.95 * 120, share
 
 
+def edited_times(text, edits, rnd):
+    """The text with so many edits, each of a word of its own."""
+    own, out = text.split(), []
+    at = set(rnd.sample(range(len(own)), edits))
+    for k, x in enumerate(own):
+        out += rnd.choice([[], [f"n{rnd.randrange(10**9)}"], [x, f"m{rnd.randrange(10**9)}"]]) if k in at else [x]
+    return " ".join(out)
+
+
+def recall_of(n, edits, times=200):
+    rnd = random.Random(1000 * n + edits)
+    items = [prose(f"item{n}-{k}", n, 900) for k in range(times)]
+    index = ItemIndex.of(list(range(times)), items, 1)
+    texts = [f"{prose(f'a{k}', rnd.randrange(30), 900).upper()}. {edited_times(item, edits, rnd)}, {prose(f'b{k}', 30, 900)}"
+             for k, item in enumerate(items)]
+    found = {(g[0], g[1]) for g in scan(pa.array(texts), index, index.masks(), 0.8)}
+    return sum((k, k) in found for k in range(times)) / times
+
+
+def test_leaks_recall_by_length_at_all_the_edits_allowed():
+    for n in (8, 9, 10, 11, 12, 15, 16, 19, 20, 25, 30, 59, 120):
+        assert recall_of(n, 0) >= 0.99, n
+        assert recall_of(n, edits_of(n, 0.8)) >= 0.99, n
+
+
+def test_leaks_recall_where_the_edits_lie_worst():
+    rnd = random.Random(12)
+    for n in (15, 20, 40):
+        edits = edits_of(n, 0.8)
+        assert repeats_for(n, edits) is not None  # by walks
+        items = [prose(f"worst{n}-{k}", n, 900) for k in range(200)]
+        texts = []
+        for item in items:  # evenly spaced: only short stretches are left
+            own = item.split()
+            for k in range(edits):
+                own[(k + 1) * n // (edits + 1)] = f"n{rnd.randrange(10**9)}"
+            texts.append(" ".join(own))
+        index = ItemIndex.of(list(range(200)), items, 1)
+        found = {(g[0], g[1]) for g in scan(pa.array(texts), index, index.masks(), 0.8)}
+        assert sum((k, k) in found for k in range(200)) >= 0.97 * 200, n
+
+
 def test_leaks_edge_rows(spark):
     item = prose("item", 25)
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "too short"), (4, "")],
