@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from evalspark.llm.words import NOT_ALNUM, U64, Words, chunks, mix, ngram_hashes, split_words, window_starts
 
 SIMILARITY = 0.8
-#: Items with fewer words are common phrases rather than passages and are not looked for.
-MIN_WORDS = 8
+#: Items with fewer words are not looked for: every item that has words is.
+MIN_WORDS = 1
 #: Least share of the items found, wherever their edits are, and most repeats spent on it.
 RECALL = 0.99
 REPEATS = 12

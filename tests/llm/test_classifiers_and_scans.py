@@ -193,6 +193,16 @@ def test_leaks_recall_where_the_edits_lie_worst():
         assert sum((k, k) in found for k in range(200)) >= 0.97 * 200, n
 
 
+def test_leaks_of_items_of_few_words_are_found(spark):
+    for n in range(1, 8):
+        assert recall_of(n, 0, 50) == 1 and recall_of(n, edits_of(n, 0.8), 50) == 1, n
+    items = spark.createDataFrame([(k, prose(f"few{k}", k, 900)) for k in range(1, 8)] + [(8, "?!"), (9, "")],
+                                  "item_id long, text string")
+    docs = frame(spark, [(k, f"zz {prose(f'few{k}', k, 900)} yy") for k in range(1, 8)] + [(20, "zz yy"), (21, "?!")])
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} >= {(k, k) for k in range(1, 8)}
+    assert {r.doc_id for r in drop_leaks(docs, items).collect()} == {20, 21}
+
+
 def test_leaks_edge_rows(spark):
     item = prose("item", 25)
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "too short"), (4, "")],
