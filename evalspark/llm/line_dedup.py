@@ -40,21 +40,29 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MAX_SHARE,
-                      min_pages: int = MIN_PAGES) -> DataFrame:
+                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """One row per host with boilerplate: ``host`` and the array ``keys`` of its line keys.
 
     A page counts once for a line, however often it holds it. Only hosts
     with ``min_pages`` pages or more are judged, as on fewer pages every
     line is frequent. The array is bounded: a host has at most (mean
     distinct lines of its pages) / max_share lines above max_share.
+    With ``copies_once`` pages of a host with equal texts count as one page
+    for the share (not for ``min_pages``), so that copies of a page do not
+    make its lines boilerplate.
     """
     keys = F.array_distinct(F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), line_key), lambda k: k.isNotNull()))
-    pages = df.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"),
+    pages = df.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"),
                                                             F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
-    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.select("host", F.explode("keys").alias("key"), *([F.xxhash64("text").alias("copy")] if copies_once else []))
+    counts = (found.distinct() if copies_once else found).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     # page totals need no text; copies of them spread the lines of a hot host over SALTS tasks
-    totals = (df.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-              .where(F.col("pages") >= min_pages)
+    each = df.select(F.col(f"`{host}`").alias("host"), *([F.xxhash64(f"`{text}`").alias("copy")] if copies_once else []))
+    if copies_once:
+        each = each.groupBy("host", "copy").agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum("rows") if copies_once else F.count(F.lit(1))
+    totals = (each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), rows.alias("rows"))
+              .where(F.col("rows") >= min_pages).drop("rows")
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     return (counts.where("n > 1").withColumn("salt", salt).join(totals, ["host", "salt"])
@@ -63,16 +71,17 @@ def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MA
 
 
 def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX_SHARE,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """Every row with its boilerplate lines dropped from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Rows with a null host are kept as they are (no site to compare with),
     and so are null texts (0 lines). Kept lines stay in order, unchanged;
     lines of spaces only always stay. Repeated rows count as pages of their
-    own and are all kept. Input columns named n_lines or n_dropped are
+    own (with ``copies_once`` equal texts of a host count once) and are all
+    kept. Input columns named n_lines or n_dropped are
     replaced.
     """
-    bad = boilerplate_lines(df, host, text, max_share, min_pages).select(
+    bad = boilerplate_lines(df, host, text, max_share, min_pages, copies_once).select(
         F.col("host").alias("__host"), F.col("keys").alias("__bad"))
     # a hot host is split by the adaptive skew join; few hosts make it a broadcast
     joined = df.drop("n_lines", "n_dropped").join(bad, F.col(f"`{host}`") == F.col("__host"), "left")

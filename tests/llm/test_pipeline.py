@@ -60,3 +60,15 @@ def test_near_duplicates_links_five_word_shingles_from_80_percent(spark):
     assert got == {i for i, first in want.items() if i == first}
     looser = {i for i, _, first, _ in brute_join(rows, 3, 90) if i == first}
     assert got < looser and len(looser - got) >= 10 and len(got) > 3  # pairs between the two settings, pairs below both
+
+
+def test_lines_of_a_group_of_copies_stay(spark):
+    def text(k):
+        return f"menu\n{prose(f'a{k}', 30, 2000)}\n{prose(f'b{k}', 30, 2000)}"
+
+    rows = [(i, text("copied"), "a") for i in range(30)] + [(100 + i, text(i), "a") for i in range(60)]
+    out = corpus_pipeline.lines(spark, frame(spark, rows).repartition(4), SF)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: t.removeprefix("menu\n") for i, t, _ in rows}  # the line of all texts goes from every row
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, out, SF).select("doc_id").collect()}
+    assert left == {0, *range(100, 160)}
