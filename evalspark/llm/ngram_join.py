@@ -116,6 +116,17 @@ def _keys(shingle: int, percent: int):
     return run
 
 
+def _own_texts(shingle: int):
+    """Rows whose text has the set that the row names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for lo, hi in chunks(texts):
+                own = [bool(len(s)) and set_id(s, 1) == i for s, i in zip(shingle_sets(texts[lo:hi], shingle), named[lo:hi])]
+                yield batch.slice(lo, hi - lo).filter(pa.array(own, type=pa.bool_()))
+    return run
+
+
 def overlap_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     """Sizes of the intersections of two lists of sets: a product of incidence matrices, some columns at a time."""
     own = np.concatenate(left + right)
@@ -239,7 +250,9 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
              .select("set_id", "first_doc", "copies", "candidates", "part",
                      F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")))
     texts = (docs.join(members.select(F.col("first_doc").alias("doc_id"), "set_id").hint("merge"), "doc_id")
-             .select("set_id", "text"))
+             .select("set_id", "text").mapInArrow(_own_texts(shingle), "set_id long, text string")
+             # rows with equal ids: each class enters the product once, with a text of its own
+             .groupBy("set_id").agg(F.min("text").alias("text")))
     products = (dealt.join(texts, "set_id").select("candidates", "low", "high", "part", "set_id", "copies", "text")
                 .repartition("candidates", "low", "high").sortWithinPartitions("candidates", "low", "high"))
     links = staged(products.mapInArrow(_links(shingle, percent), "a long, b long, links long"), "links")

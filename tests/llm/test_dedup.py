@@ -170,6 +170,16 @@ def test_ngram_join_edge_rows(spark):
     assert ngram_jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_repeated_rows_of_the_smallest_id(spark):
+    base, other = prose(31, 120).split(), prose(32, 120).split()
+    near = [" ".join(w[:60] + ["new"] + w[61:]) for w in (base, other)]
+    a, b = " ".join(base), " ".join(other)
+    rows = [(1, a), (1, a), (1, a.upper()), (2, near[0]), (3, b), (3, prose(33, 90)), (3, None), (4, near[1]), (5, b)]
+    got = got_join(ngram_jaccard_join(frame(spark, rows)))
+    assert got == brute_join(rows)
+    assert {k[3] for k in got if k[0] == 2} == {3}
+
+
 def test_ngram_join_near_copies_around_the_limit(spark):
     rnd = random.Random(5)
     rows = []
