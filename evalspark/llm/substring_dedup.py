@@ -1,4 +1,4 @@
-"""Operator 3, substring dedup: relative Lempel-Ziv parsing.
+"""Operator 3, substring dedup: minimizer blocks and window hashes, in place of a greedy relative Lempel-Ziv parse.
 
 Every document is a reference for the documents with larger ids. It is cut
 at content-defined places into blocks: consecutive windows (``window`` words
@@ -7,13 +7,13 @@ each) with the same minimizer, that is the same smallest hash among the
 by that hash. A window found in two documents has the same minimizer in
 both, so everything a document can copy is in blocks under its own keys.
 
-A document is factored greedily from left to right. Where all blocks under
-a key are equal, the block is copied whole from the first document that
-holds it. Where they differ, which is at the ends of a factor, the windows
-of the block are looked up one by one. Adjoining copies make one factor;
-factors of at least one window are the duplicate spans.
+No document is factored. Where all blocks under a key are equal, every
+window of the block is a copy in all documents but the first that holds it.
+Where they differ, which is at the ends of a copied passage, the windows of
+the block are joined by their hashes. Words under copied windows are removed;
+runs of them are the duplicate spans.
 
-Only keys, block hashes and the windows at factor ends are shuffled beside
+Only keys, block hashes and the windows of blocks that differ are shuffled beside
 the one exchange of the texts by document. Hot keys are aggregated before
 the shuffle or met in joins that the adaptive skew join splits.
 """
