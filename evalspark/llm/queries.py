@@ -1,4 +1,4 @@
-"""Registered queries of the ten training-data operators, and their SQL."""
+"""Registered queries of the training-data operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -32,11 +32,17 @@ CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce(list_prepend(n::BIGINT, range(8)),
                           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
   FROM range(256) r(n))"""
-CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
-            list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)),
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+            list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
 
 
+CRC32 = crc32_sql("coalesce(text, '')")
+
+
 @query("op8_sharding", oracle=f"""
 WITH {CRC_TABLE},
 d AS (SELECT doc_id, source, text, md5(concat('42:', coalesce(doc_id::VARCHAR, ''))) AS h FROM documents),
@@ -171,3 +177,67 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs))
+
+
+@query("op11_periodic_runs", oracle=rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql("doc_id::VARCHAR")} AS h
+      FROM documents, crc_table),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS m
+      FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM x WHERE n >= 24)),
+c AS (SELECT doc_id, m, list(i ORDER BY i) AS js FROM s GROUP BY ALL HAVING count(*) > 1),
+e AS (SELECT doc_id, js, unnest(js) AS i FROM c),
+q AS (SELECT doc_id, i, unnest(list_filter(js, lambda j: j > i)) - i AS q FROM e),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM q),
+r AS (SELECT doc_id, min(i) AS s, count(*) + 15 + q AS len, q FROM k GROUP BY doc_id, q, k HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+u AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = r.doc_id AND b.q < r.q AND b.s <= r.s AND b.s + b.len >= r.s + r.len)),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM u GROUP BY 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len::DOUBLE / q DESC, s, q) AS pick FROM u),
+z AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM u),
+v AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM x),
+t AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.i) AS text FROM v ANTI JOIN z ON v.doc_id = z.doc_id AND v.i = z.i GROUP BY 1)
+SELECT x.doc_id, coalesce(o.n_runs, 0)::BIGINT AS n_runs, f.s::BIGINT AS start, f.len::BIGINT AS length, f.q::BIGINT AS period,
+       ((1000 * f.len) // f.q)::BIGINT AS exponent_milli, sha256(coalesce(o.lines, '')) AS runs_sha256,
+       sha256(coalesce(t.text, '')) AS collapsed_sha256
+FROM x LEFT JOIN o ON o.doc_id = x.doc_id LEFT JOIN f ON f.doc_id = x.doc_id AND f.pick = 1 LEFT JOIN t ON t.doc_id = x.doc_id""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.periodic_runs import periodic_runs, repeat_tails, run_digests
+
+    return run_digests(periodic_runs(repeat_tails(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.simhash import simhash_near_dedup
+
+    return simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", oracle=f"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL)
+      GROUP BY ALL),
+h AS (SELECT w, c, {crc32_sql("doc_id || ':' || w")} AS h FROM l, crc_table WHERE length(w) >= 6),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM i),
+p AS (SELECT a.word, b.word AS other FROM k a JOIN k b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+      UNION SELECT k.word, v.word FROM k JOIN v ON k.k = v.word UNION SELECT v.word, k.word FROM k JOIN v ON k.k = v.word),
+r AS (SELECT p.word, p.other, o.n AS other_n, v.n, count(*) OVER (PARTITION BY p.word) AS n_near,
+             row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS pick
+      FROM p JOIN v o ON o.word = p.other JOIN v ON v.word = p.word),
+f AS (SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * v.n THEN r.other END AS form,
+             CASE WHEN r.other_n >= 5 * v.n THEN r.other_n END AS form_n FROM v LEFT JOIN r ON r.word = v.word AND r.pick = 1),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n
+FROM f JOIN t ON t.word = f.word JOIN f e ON e.word = t.root WHERE e.form IS NULL""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.llm.spelling import count_words, letter_runs, skip_letters, spelling_groups
+
+    return spelling_groups(count_words(skip_letters(letter_runs(table(spark, sf_dir, "documents")))))
