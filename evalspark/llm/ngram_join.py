@@ -1,11 +1,17 @@
 """Operator 6, n-gram Jaccard join: blocked sparse product of documents by n-grams.
 
 The columns (n-grams) of the incidence matrix are cut into blocks, and two
-documents of at most ``hi`` n-grams with Jaccard similarity of at least
-``percent`` differ in at most D = 2 hi (100 - percent) / (100 + percent)
-n-grams. With D + SPARE blocks, SPARE of them at least hold equal entries in both rows, so
-a pair without an equal non-empty block is below the bound and its product
-is never formed. For the pairs that are left the overlap count is
+documents of a size class with Jaccard similarity of at least ``percent``
+differ in at most D = (a + b) (100 - percent) / (100 + percent) n-grams for their
+sizes a and b. With more blocks than that, the others hold equal entries in both rows. A
+document therefore knows how many non-empty blocks it shares at least with
+any document it links with (blocks - its empty ones - D). Shared blocks are
+accumulated over pairs, and pairs below the number are discarded
+before any product. A document whose number is below one has its prefix n-grams
+as keys besides; two such documents that link have one in common.
+
+Keys of very many documents are not paired: their documents are one candidate group.
+For the candidates that are left, in row blocks, overlap counts are
 accumulated over the n-grams and held against the bound of their two sizes.
 """
 
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.graph import components
+from evalspark.llm.key_filter import KeyFilter
 from evalspark.llm.staging import staged
 from evalspark.llm.words import U64, chunks, mix, ngram_hashes, split_words
 
@@ -44,6 +51,7 @@ def block_bounds(level: int, percent: int) -> tuple[int, np.ndarray]:
     hi = int(size_levels(percent)[level + 1]) - 1
     differ = 2 * hi * (100 - percent) // (100 + percent)
     n = differ + SPARE
+    n += int(3 * n * np.exp(-hi / n))  # a document of hi n-grams has a third of these empty
     return differ, np.array([(k << 64) // n for k in range(n)], dtype=U64)
 
 
@@ -68,24 +76,33 @@ def set_id(s: np.ndarray, seed: int) -> int:
         return int(mix(np.array([total + U64(len(s))], dtype=U64)).view(np.int64)[0])
 
 
-def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the column blocks of a row: of its own size class and of the next one up."""
-    levels = size_levels(percent)
-    own = int(np.searchsorted(levels, len(s), side="right")) - 1
+def block_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the column blocks of a row, of its own size class and of the next one up; for each key
+    the keys that it shares at least with a row it links with in that class, and whether it is of the class above."""
+    levels, size = size_levels(percent), len(s)
+    own = int(np.searchsorted(levels, size, side="right")) - 1
+    keys, need, up = [], [], []
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(s) + 1, dtype=U64)
+        sums = np.zeros(size + 1, dtype=U64)
         np.cumsum(mix(s ^ U64(0x5851F42D4C957F2D)), out=sums[1:])
-        out = []
         for level in (own, own + 1):
             differ, lows = block_bounds(level, percent)
             if not differ:
                 continue  # only equal sets link here
-            at = np.append(np.searchsorted(s, lows), len(s))
+            at = np.append(np.searchsorted(s, lows), size)
             full = at[1:] > at[:-1]
-            keys = mix((sums[at[1:]] - sums[at[:-1]]) + mix(np.arange(len(lows), dtype=U64) + U64(level << 32)))
-            # with fewer than SPARE empty blocks a link shows in one that is not empty
-            out.append(keys if (~full).sum() >= SPARE else keys[full])
-    return np.concatenate(out) if out else np.zeros(0, dtype=U64)
+            block = mix((sums[at[1:]] - sums[at[:-1]]) + mix(np.arange(len(lows), dtype=U64) + U64(level << 32)))[full]
+            largest = min(int(levels[level + 1]) - 1, 100 * size // percent)
+            shared = len(block) - (size + largest) * (100 - percent) // (100 + percent)
+            if shared < 1:  # a row it links with may share empty blocks only
+                prefix = s[:size - -(-percent * size // 100) + 1]
+                block = np.concatenate([block, mix(prefix ^ U64(level + 1))])
+            keys.append(block)
+            need.append(np.full(len(block), max(shared, 1), dtype=np.int32))
+            up.append(np.full(len(block), level > own))
+    if not keys:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
+    return np.concatenate(keys), np.concatenate(need), np.concatenate(up)
 
 
 def _sizes(shingle: int):
@@ -101,18 +118,29 @@ def _sizes(shingle: int):
     return run
 
 
-def _keys(shingle: int, percent: int):
+def _keys(shingle: int, percent: int, repeated: KeyFilter | None = None):
+    """(key, set_id) of every text; with a filter, of the keys that it may hold, and their ``need`` and ``up``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in chunks(texts):
-                found = [(set_id(s, 1), block_keys(s, percent))
-                         for s in shingle_sets(texts[lo:hi], shingle) if len(s)]
+                found = []
+                for s in shingle_sets(texts[lo:hi], shingle):
+                    if len(s):
+                        own = block_keys(s, percent)
+                        if repeated is not None:
+                            keep = repeated.may_hold(own[0])
+                            own = tuple(x[keep] for x in own)
+                        found.append((set_id(s, 1), own))
                 if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([k for _, k in found]).view(np.int64)),
-                         pa.array(np.repeat(np.array([i for i, _ in found], dtype=np.int64),
-                                            [len(k) for _, k in found]))], names=["key", "set_id"])
+                    cols = [pa.array(np.concatenate([k for _, (k, _, _) in found]).view(np.int64)),
+                            pa.array(np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(k) for _, (k, _, _) in found]))]
+                    names = ["key", "set_id"]
+                    if repeated is not None:
+                        cols += [pa.array(np.concatenate([x[k] for _, x in found])) for k in (1, 2)]
+                        names += ["need", "up"]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 
@@ -210,6 +238,33 @@ def _links(shingle: int, percent: int):
 #: Rows, and n-grams, of one row block of a product.
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 500_000
+#: Sets of one key that are paired; the sets of a key of more are one candidate group.
+PAIR_ROWS = 64
+
+
+def candidates(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """(a, b): edges between the sets of ``text`` whose connected components hold every two sets that
+    link. Pairs of sets that share as many keys as a link must, and the sets of the keys of more than ``pair_rows``."""
+    keys = texts.mapInArrow(_keys(shingle, percent), "key long, set_id long")
+    repeated = staged(keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"))
+                      .where("hub < top").select("key", "hub"), "keys")
+    # most keys are of one set: they are dropped in the tasks that make them
+    members = staged(texts.mapInArrow(_keys(shingle, percent, KeyFilter(repeated)), "key long, set_id long, need int, up boolean")
+                     .distinct().join(repeated.select("key").hint("merge"), "key", "left_semi"), "members")
+    common = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > pair_rows)
+                    .select("key").join(repeated, "key"), "common-keys")
+    few = (members.join(common, "key", "left_anti").groupBy("key")
+           .agg(F.collect_list(F.struct("set_id", "need", "up")).alias("of")).where(F.size("of") > 1))
+
+    def others(x):
+        met = F.filter("of", lambda y: (x["set_id"] < y["set_id"]) & ~(x["up"] & y["up"]))
+        return F.transform(met, lambda y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b"),
+                                                   F.greatest(x["need"], y["need"]).alias("need")))
+
+    pairs = (few.select(F.explode(F.flatten(F.transform("of", others))).alias("p")).select("p.*")
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+             .where("shared >= need").select("a", "b"))
+    return pairs.union(members.join(common, "key").select(F.col("set_id").alias("a"), F.col("hub").alias("b")))
 
 
 def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -233,12 +288,8 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = (sets.where("set_id is not null and doc_id is not null").groupBy("set_id")
                .agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("size"),
                     F.count(F.lit(1)).alias("copies")))
-    keys = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(
-        _keys(shingle, percent), "key long, set_id long")
-    hubs = (keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"))
-            .where("hub < top").select("key", "hub"))
-    # hubs and members grow with the corpus, so these two joins are shuffled at every size
-    near = components(keys.join(hubs.hint("merge"), "key").select("set_id", "hub"), "set_id", "hub")
+    texts = docs.where("doc_id is not null and text is not null").select("text")
+    near = components(candidates(texts, shingle, percent), "a", "b")
     members = staged(near.select(F.col("node").alias("set_id"), F.col("component").alias("candidates"))
                      .join(classes, "set_id"), "candidates")
     # a row block meets every row block of its candidate group: a copy of the row for each

@@ -8,7 +8,15 @@ import pytest
 
 from evalspark.llm.graph import components
 from evalspark.llm.line_dedup import boilerplate_lines, dedup_pages, drop_boilerplate
-from evalspark.llm.ngram_join import block_bounds, ngram_jaccard_join, overlap_counts, size_levels
+from evalspark.llm.ngram_join import (
+    block_bounds,
+    candidates,
+    ngram_jaccard_join,
+    overlap_counts,
+    set_id,
+    shingle_sets,
+    size_levels,
+)
 from evalspark.llm.substring_dedup import substring_dedup
 from evalspark.llm.words import chunks, ngram_hashes, split_words
 
@@ -228,3 +236,53 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df, "x", "y").collect()}
     assert all(got[i] == 0 for i in range(41)) and got[103] == 100 and got[350] == 300 and 200 not in got
     assert components(df.limit(0), "x", "y").count() == 0
+
+
+def test_few_products_for_the_links_of_a_corpus(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text")
+    for shingle, percent in ((5, 80), (3, 90)):
+        groups = components(candidates(docs, shingle, percent), "a", "b").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        products = groups.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        assert products < 1000
+
+
+@pytest.mark.parametrize("pair_rows", [2, 64])
+@pytest.mark.parametrize("shingle,percent", [(1, 80), (2, 60), (3, 90)])
+def test_candidates_hold_every_link(spark, shingle, percent, pair_rows):
+    rnd = random.Random(shingle)
+    texts = []
+    for size in (3, 6, 12, 30, 80, 300):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 1 + max(1, size * (100 - percent) // 150))):
+                k = rnd.randrange(len(copy))
+                copy[k:k + rnd.randrange(2)] = [f"n{rnd.randrange(10**6)}"] * rnd.randrange(2)
+            texts.append(" ".join(copy))
+    part = pa.array(texts)
+    sets = list(shingle_sets(part, shingle))
+    ids = [set_id(s, 1) if len(s) else None for s in sets]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    group = {r.node: r.component for r in components(candidates(df, shingle, percent, pair_rows), "a", "b").collect()}
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if ids[i] != ids[j] and same and 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                links += 1
+                assert group[ids[i]] == group[ids[j]]
+    assert links > 5
+
+
+def test_key_filter_keeps_all_keys_of_its_table(spark):
+    from evalspark.llm.key_filter import KeyFilter
+    from evalspark.llm.words import mix
+
+    keys = mix(np.arange(5000, dtype=np.uint64))
+    held = KeyFilter(spark.createDataFrame([(int(k),) for k in keys[:1000].view(np.int64)], "key long"))
+    found = held.may_hold(keys)
+    assert found[:1000].all() and found[1000:].mean() < 0.2
+    empty = KeyFilter(spark.createDataFrame([], "key long"))
+    assert not empty.may_hold(keys).any()
