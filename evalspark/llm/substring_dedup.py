@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.key_filter import KeyFilter
 from evalspark.llm.staging import staged
 from evalspark.llm.words import U64, Words, _powers, chunks, mix, ngram_hashes, split_words, window_starts
 
@@ -69,7 +70,9 @@ def _span_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def _blocks(window: int):
+def _blocks(window: int, repeated: KeyFilter | None = None):
+    """key, block and doc_id of every block; with a filter, key and doc_id of those whose key it may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -79,6 +82,11 @@ def _blocks(window: int):
                 first = _block_starts(row, key)
                 if not len(first):
                     continue
+                if repeated is not None:
+                    first = first[repeated.may_hold(key[first])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[first].view(np.int64)), ids[lo:hi].take(pa.array(row[first]))], names=["key", "doc_id"])
+                    continue
                 last = np.append(first[1:], len(at)) - 1
                 block = _span_hashes(w.hash, at[first], at[last] + window)
                 yield pa.RecordBatch.from_arrays(
@@ -186,7 +194,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                    .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
                         (F.min("block") != F.max("block")).alias("mixed"))
                    .where("first_doc < last_doc").drop("last_doc"), "rlz-index")
-    found = staged(blocks.select("key", "doc_id").join(index, "key").where("mixed or doc_id > first_doc")
+    # most blocks are of one document: they are dropped in the tasks that make them
+    shared = with_id.mapInArrow(_blocks(window, KeyFilter(index)), "key long, doc_id long")
+    found = staged(shared.join(index, "key").where("mixed or doc_id > first_doc")
                    .groupBy("doc_id")
                    .agg(F.collect_set(F.when(~F.col("mixed"), F.col("key"))).alias("whole"),
                         F.collect_set(F.when(F.col("mixed"), F.col("key"))).alias("ends")), "rlz-blocks")
@@ -195,8 +205,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     at_ends = staged(with_id.join(found.select("doc_id", "ends").where(F.size("ends") > 0), "doc_id")
                      .select("doc_id", row, "text", "ends")
                      .mapInArrow(_end_windows(window), "h1 long, h2 long, doc_id long, row int, pos int"), "rlz-ends")
-    first = (at_ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-             .where("first_doc < last_doc").drop("last_doc"))
+    # written: beside an aggregate of the same keys the join could not split a hot window
+    first = staged(at_ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+                   .where("first_doc < last_doc").drop("last_doc"), "rlz-first")
     copied = (at_ends.join(first, ["h1", "h2"]).where("doc_id > first_doc")
               .groupBy("doc_id", "row").agg(F.collect_set("pos").alias("positions")))
     return (docs.withColumn("row", row).join(found.select("doc_id", "whole"), "doc_id", "left")
