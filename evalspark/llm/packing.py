@@ -7,8 +7,10 @@ large lengths, in descending order, are dealt into groups of equal
 cardinality and rounded up to the longest of their group; configurations of
 these few sizes are chosen and applied as often as they can be; the actual
 lengths take the places of the rounded ones; small lengths then go best-fit
-into what is left. Pieces find their place by their rank among the pieces
-of their length.
+into what is left. Rounding can cost sequences, so the scheme is planned for
+several numbers of groups and bounds of a large length, the last of which
+leaves all to best-fit, and the plan of the fewest sequences is taken. Pieces find their
+place by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -31,9 +33,9 @@ from evalspark.llm.staging import staged
 from evalspark.llm.words import chunks
 
 CAPACITY = 2048
-GROUPS = 24
-#: A large piece takes more than this share of a sequence, so three fit in one at most.
-LARGE = 0.25
+#: Plans that are compared: number of groups, and the share of a sequence above which a piece is large (from a
+#: quarter on three large ones fit in a sequence at most).
+SCHEMES = ((24, 0.25), (64, 0.25), (24, 0.5), (1, 1.0))
 END_OF_TEXT = 0
 
 
@@ -213,12 +215,17 @@ def _configurations(sizes: list[int], left: list[int], capacity: int) -> Iterato
         yield config, times
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
-    """Packs ``counts[length]`` pieces of each length (1 to capacity)."""
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, schemes: Sequence[tuple[int, float]] = SCHEMES) -> Plan:
+    """Packs ``counts[length]`` pieces of each length (1 to capacity): the plan of the fewest sequences (ties: the first)."""
+    return min((grouping_plan(counts, capacity, *scheme) for scheme in schemes), key=lambda plan: plan.sequences)
+
+
+def grouping_plan(counts: dict[int, int], capacity: int, groups: int, share: float) -> Plan:
+    """The linear grouping scheme with pieces of more than ``share`` of the capacity in so many groups."""
     plan, space = Plan(capacity), _Space()
     if full := counts.get(capacity, 0):
         plan.place(capacity, 0, 1, plan.open(full), 0)
-    large = sorted((n for n in counts if LARGE * capacity < n < capacity and counts[n]), reverse=True)
+    large = sorted((n for n in counts if share * capacity < n < capacity and counts[n]), reverse=True)
     ends = np.cumsum([counts[n] for n in large])  # of each length, in descending order of all large pieces
     total = int(ends[-1]) if large else 0
     cut = max(1, -(-total // groups))
@@ -241,7 +248,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
                 offset += large[k]
             space.add(capacity - offset, first + done, n)
             done += n
-    for length in sorted((n for n in counts if n <= LARGE * capacity and n < capacity), reverse=True):
+    for length in sorted((n for n in counts if n <= share * capacity and n < capacity), reverse=True):
         lo, left = 0, counts[length]
         while left:
             room, first, n = space.take(length) or (capacity, None, 0)
@@ -270,32 +277,35 @@ def _placed(table: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
             at = np.searchsorted(key, (length << 40) + rank, side="right") - 1
             _, lo, per, first, offset = table[at].T
-            names = [n for n in batch.schema.names if n != "rank"]
+            names = [n for n in batch.schema.names if n != "__rank"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(first + (rank - lo) // per),
                  pa.array(offset + (rank - lo) % per * length)], names=[*names, "sequence_id", "offset"])
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, schemes: Sequence[tuple[int, float]] = SCHEMES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length, and any other columns).
 
     Sequences hold at most ``capacity`` tokens, gapless from offset 0.
     ``pieces`` is read twice; give it a written table. Lengths must lie in 1
     to capacity. An empty table gives an empty result. Ranks are exact below
-    2^40 pieces of one length.
+    2^40 pieces of one length. Input columns named sequence_id or offset are
+    replaced. Pieces of one length with equal ids and piece numbers follow
+    their start and ids_crc32, where they have them.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     hashed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece")))
+    ties = [c for c in ("start", "ids_crc32") if c in pieces.columns]
     ranked = rank_in_key(pieces.withColumn("__h", hashed).withColumn("__b", hash_bucket(F.col("__h"))),
-                         "length", "__b", ["__h"], "rank", "__total")
-    columns = pieces.columns
+                         "length", "__b", ["__h", *ties], "__rank", "__total")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*columns, "rank").mapInArrow(
-        _placed(plan_packing(counts, capacity, groups).table()), f"{fields}, sequence_id long, offset long")
+    return ranked.select(*(F.col(f"`{c}`") for c in pieces.columns), "__rank").mapInArrow(
+        _placed(plan_packing(counts, capacity, schemes).table()), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
