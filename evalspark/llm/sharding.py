@@ -9,13 +9,15 @@ order is cut into shards whose row counts differ by one at most (law
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.ranking import BUCKETS, hash_bucket, rank_in_key
 
 
-def shard_rows(df: DataFrame, key: str, source: str, n_shards: int, seed: int = 42) -> DataFrame:
+def shard_rows(df: DataFrame, key: str, source: str, n_shards: int, seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
     """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in the shard) to every row.
 
     Order within a source: md5 of "seed:key". Null sources form a source of
@@ -31,7 +33,7 @@ def shard_rows(df: DataFrame, key: str, source: str, n_shards: int, seed: int =
             .withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("")))
             .withColumn("__h", hashed).withColumn("__b", hash_bucket(F.col("__h"))))
     # one source: __b, __h order; all sources: fraction, then __h
-    ranked = rank_in_key(rows, "__src", "__b", ["__h"], "__r", "__n").drop("__b")
+    ranked = rank_in_key(rows, "__src", "__b", ["__h", *ties], "__r", "__n").drop("__b")
     placed = (ranked.withColumn("__slice", F.expr(f"cast((2 * __r + 1) * {BUCKETS} div (2 * __n) as int)"))
               .withColumn("__frac", (2 * F.col("__r") + 1) / (2 * F.col("__n"))))
     # rows before slice k, from the sizes of the sources alone: ranks r with (2r + 1) * BUCKETS < 2 n k
@@ -41,7 +43,7 @@ def shard_rows(df: DataFrame, key: str, source: str, n_shards: int, seed: int =
     starts = (sizes.select("__size", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("__slice"))
               .groupBy("__slice").agg(F.sum(F.greatest(below, F.lit(0))).alias("__start"),
                                       F.sum("__size").alias("__all")))
-    inside = F.row_number().over(Window.partitionBy("__slice").orderBy("__frac", "__h")) - 1
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy("__frac", "__h", *ties)) - 1
     position = F.col("__start") + F.col("__inside")
     # shard s holds positions ceil(s * all / shards) up to the next start
     shard = F.expr(f"(__pos * {n_shards}L) div __all")
@@ -62,7 +64,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return (shard_rows(slim, "doc_id", "source", n_shards, seed)
+    return (shard_rows(slim, "doc_id", "source", n_shards, seed, ("text_crc32", "size"))
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "source"))
 
