@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.staging import staged
+
 MAX_SHARE = 0.3
-MIN_PAGES = 4
 SALTS = 32
+#: Boilerplate keys of at most so many bytes in all go to every task; more of them meet pages dealt by host and salt.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 #: Elements whose content is not text, and tags that end a line. Fixed values.
 _HIDDEN = r"(?is)<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>|<!--.*?-->"
@@ -40,16 +43,14 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MAX_SHARE,
-                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+                      copies_once: bool = False) -> DataFrame:
     """One row per host with boilerplate: ``host`` and the array ``keys`` of its line keys.
 
-    A page counts once for a line, however often it holds it. Only hosts
-    with ``min_pages`` pages or more are judged, as on fewer pages every
-    line is frequent. The array is bounded: a host has at most (mean
+    A page counts once for a line, however often it holds it; a line of one
+    page only is never boilerplate. The array is bounded: a host has at most (mean
     distinct lines of its pages) / max_share lines above max_share.
-    With ``copies_once`` pages of a host with equal texts count as one page
-    for the share (not for ``min_pages``), so that copies of a page do not
-    make its lines boilerplate.
+    With ``copies_once`` pages of a host with equal texts count as one page,
+    so that copies of a page do not make its lines boilerplate.
     """
     keys = F.array_distinct(F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), line_key), lambda k: k.isNotNull()))
     pages = df.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"),
@@ -59,10 +60,8 @@ def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MA
     # page totals need no text; copies of them spread the lines of a hot host over SALTS tasks
     each = df.select(F.col(f"`{host}`").alias("host"), *([F.xxhash64(f"`{text}`").alias("copy")] if copies_once else []))
     if copies_once:
-        each = each.groupBy("host", "copy").agg(F.count(F.lit(1)).alias("rows"))
-    rows = F.sum("rows") if copies_once else F.count(F.lit(1))
-    totals = (each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), rows.alias("rows"))
-              .where(F.col("rows") >= min_pages).drop("rows")
+        each = each.distinct()
+    totals = (each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     return (counts.where("n > 1").withColumn("salt", salt).join(totals, ["host", "salt"])
@@ -70,8 +69,8 @@ def boilerplate_lines(df: DataFrame, host: str, text: str, max_share: float = MA
             .groupBy("host").agg(F.collect_list("key").alias("keys")))
 
 
-def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX_SHARE,
-                     min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX_SHARE, copies_once: bool = False,
+                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row with its boilerplate lines dropped from ``text``, plus ``n_lines`` and ``n_dropped``.
 
     Rows with a null host are kept as they are (no site to compare with),
@@ -81,10 +80,16 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX
     kept. Input columns named n_lines or n_dropped are
     replaced.
     """
-    bad = boilerplate_lines(df, host, text, max_share, min_pages, copies_once).select(
+    bad = staged(boilerplate_lines(df, host, text, max_share, copies_once), "boilerplate").select(
         F.col("host").alias("__host"), F.col("keys").alias("__bad"))
-    # a hot host is split by the adaptive skew join; few hosts make it a broadcast
-    joined = df.drop("n_lines", "n_dropped").join(bad, F.col(f"`{host}`") == F.col("__host"), "left")
+    size = bad.agg(F.sum(F.octet_length("__host") + 64 * F.size("__bad"))).first()[0] or 0
+    pages, on = df.drop("n_lines", "n_dropped"), F.col(f"`{host}`") == F.col("__host")
+    if size <= broadcast_bytes:  # no page is shuffled
+        joined = pages.join(F.broadcast(bad), on, "left")
+    else:  # the pages of a hot host are spread over the salts
+        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64(f"`{text}`"), F.lit(SALTS)).cast("int")
+        joined = pages.withColumn("__own", own).join(salted, on & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
     lines = F.split(F.col(f"`{text}`"), "\n")
     kept = F.filter(F.col("__lines"), lambda x: F.coalesce(~F.array_contains(F.col("__bad"), line_key(x)), F.lit(True)))
     out = (joined.withColumn("__lines", lines)
@@ -97,7 +102,7 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, max_share: float = MAX
     return out.drop("__host", "__bad", "__lines", "__kept")
 
 
-def dedup_pages(pages: DataFrame, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_pages(pages: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the remaining text of every raw HTML page."""
     lines = pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
-    return drop_boilerplate(lines, "host", "text", max_share, min_pages)
+    return drop_boilerplate(lines, "host", "text", max_share)

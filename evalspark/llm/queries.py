@@ -72,7 +72,7 @@ l AS (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
 k AS (SELECT *, nullif(trim(line, concat(' ', chr(9), chr(13))), '') AS bare FROM l),
 c AS (SELECT host, bare, count(DISTINCT page_id) AS n FROM k WHERE bare IS NOT NULL AND host IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY 1 HAVING count(*) >= 4),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY 1),
 b AS (SELECT c.host, c.bare FROM c JOIN t USING (host) WHERE n > 1 AND n > 0.3::DOUBLE * pages),
 j AS (SELECT k.*, b.bare IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.bare = b.bare)
 SELECT page_id, host, count(*)::INTEGER AS n_lines, count(*) FILTER (bad)::INTEGER AS n_dropped,

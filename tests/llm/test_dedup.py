@@ -55,7 +55,7 @@ def test_line_dedup_counts_pages_of_the_site(spark):
     pages = [(i, f"menu\nbody {i}\n menu \n", "a") for i in range(10)]
     pages += [(20 + i, f"menu\nother {i}", "b") for i in range(10)]
     pages[11:20] = [(21 + i, f"text {i}", "b") for i in range(9)]  # menu is on one page of b only
-    got = {r.doc_id: r for r in drop_boilerplate(frame(spark, pages), "source", "text", 0.3, 4).collect()}
+    got = {r.doc_id: r for r in drop_boilerplate(frame(spark, pages), "source", "text", 0.3).collect()}
     assert all(got[i].text == f"body {i}\n" and got[i].n_dropped == 2 and got[i].n_lines == 4 for i in range(10))
     assert got[20].text == "menu\nother 0" and got[20].n_dropped == 0
     assert got[0].key == "k" and got[0].rank == 7  # other columns stay
@@ -64,10 +64,14 @@ def test_line_dedup_counts_pages_of_the_site(spark):
 def test_line_dedup_edge_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x", "a"), (4, "x", "a"), (4, "x", "a"), (5, "x\n\nx", None),
             (None, "x\ny", "a"), (6, "x", "small")]
-    out = drop_boilerplate(frame(spark, rows), "source", "text", 0.3, 4)
+    out = drop_boilerplate(frame(spark, rows), "source", "text", 0.3)
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect())
     assert got == Counter([(1, None, 0, 0), (2, "", 1, 0), (3, "", 1, 1), (4, "", 1, 1), (4, "", 1, 1),
                            (5, "x\n\nx", 3, 0), (None, "y", 2, 1), (6, "x", 1, 0)])
+    salted = drop_boilerplate(frame(spark, rows), "source", "text", 0.3, broadcast_bytes=0)
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in salted.collect()) == got
+    pair = [(1, "menu\na", "two"), (2, "menu\nb", "two"), (3, "menu", "one")]  # a host of two pages is judged
+    assert {r.text for r in drop_boilerplate(frame(spark, pair), "source", "text", 0.3).collect()} == {"a", "b", "menu"}
     empty = frame(spark, [])
     assert drop_boilerplate(empty, "source", "text").count() == 0
     assert boilerplate_lines(empty, "source", "text").count() == 0
