@@ -9,9 +9,10 @@ No stratum is sorted as a whole. Rows are bucketed by the first 16 bits of
 their hash; counts per (stratum, bucket) (<= 65,536 rows per stratum) give
 each stratum's cut bucket; only rows of the cut bucket are ranked, every
 other row is decided by comparing its bucket with the cut. The cuts, one per
-stratum, reach the rows as a map held in a scalar subquery, so no row is
-shuffled by its stratum but those of the cut buckets. Null strata form a
-stratum of their own.
+stratum, are worked out first and written (one job); they reach the rows as a map held in
+a scalar subquery over that one row, so no row is shuffled by its stratum but
+those of the cut buckets, and a sample of a sample holds no nested subquery. Null strata
+form a stratum of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import hash_key
+from evalspark.session import reliable_checkpoint
 
 _BUCKET_HEX = 4
 
@@ -66,8 +68,8 @@ def _pick(df: DataFrame, strata: str, key: str, seed, quotas) -> DataFrame:
     cum = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     cut = cum.join(per, F.col(strata).eqNullSafe(F.col("_s"))).where(
         (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_cnt")))
-    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(_stratum_key(strata), F.struct(
-        F.col("_bk").alias("cut"), (F.col("_quota") - F.col("_before")).alias("need")))))).scalar()
+    cuts = reliable_checkpoint(cut.agg(F.map_from_entries(F.collect_list(F.struct(_stratum_key(strata), F.struct(
+        F.col("_bk").alias("cut"), (F.col("_quota") - F.col("_before")).alias("need")))).alias("cuts")))).scalar()
     j = x.withColumn("_c", F.try_element_at(cuts, _stratum_key(strata)))
     at_cut = F.coalesce(F.col("_bk") == F.col("_c.cut"), F.lit(False))
     decided = j.where(~at_cut).withColumn("_picked", F.coalesce(F.col("_bk") < F.col("_c.cut"), F.lit(False)))
