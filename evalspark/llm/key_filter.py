@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +37,12 @@ class KeyFilter:
         """Whether each unsigned key may be in the table."""
         place = keys >> np.uint64(65 - self.bits.bit_length())
         return (self._bitmap.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def keep(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose key may be in the table."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.filter(pa.array(self.may_hold(keys)))
+
+        return rows.mapInArrow(run, rows.schema)

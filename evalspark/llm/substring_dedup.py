@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # written: beside an aggregate of the same keys the join could not split a hot window
     first = staged(at_ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
                    .where("first_doc < last_doc").drop("last_doc"), "rlz-first")
-    copied = (at_ends.join(first, ["h1", "h2"]).where("doc_id > first_doc")
+    copied = (KeyFilter(first, "h1").keep(at_ends, "h1").join(first, ["h1", "h2"]).where("doc_id > first_doc")
               .groupBy("doc_id", "row").agg(F.collect_set("pos").alias("positions")))
     return (docs.withColumn("row", row).join(found.select("doc_id", "whole"), "doc_id", "left")
             .join(copied, ["doc_id", "row"], "left")
