@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.columns import r6
+from evalspark.functions.columns import hash_key, r6, snippet
 from evalspark.session import reliable_checkpoint
 
 # Word split of the perturbation explainers: runs of non-word characters.
@@ -40,13 +40,29 @@ def lime_top_words(weights: DataFrame, n: int = 20) -> DataFrame:
     return s.select("direction", "word", r6("total").alias("total"), rank.alias("rank")).where(F.col("rank") <= n)
 
 
-def lime_digest(weights: DataFrame, k: int = 5, key: str = "row_id") -> DataFrame:
+def lime_digest(weights: DataFrame, k: int = 5, key: str = "row_id", examples: DataFrame | None = None,
+                label: str = "label", length: int = 100) -> DataFrame:
     """Per instance the k strongest words (by |weight|, ties: position)
-    with their direction."""
+    with their direction. With ``examples`` (key, text, label) every row
+    also has the first ``length`` characters of its text and its true label; null
+    for an instance that is not among them."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("weight").desc(), F.col("pos")))
     d = F.when(F.col("weight") > 0, "Stereotype").otherwise("Non-Stereotype")
-    return weights.select(key, "token", r6("weight").alias("weight"), d.alias("direction"), rank.alias("rank")) \
-                  .where(F.col("rank") <= k)
+    out = weights.select(key, "token", r6("weight").alias("weight"), d.alias("direction"), rank.alias("rank")) \
+                 .where(F.col("rank") <= k)
+    if examples is None:
+        return out
+    return out.join(examples.select(key, snippet("text", length).alias("snippet"), F.col(label).alias("label")), key, "left")
+
+
+def group_digest(picked: DataFrame, group: str = "grp", key: str = "row_id", seed: int = 42, length: int = 80) -> DataFrame:
+    """X5 (summary): the analysed examples of each group, numbered in their sample order, with the
+    first ``length`` characters of the text and the number of examples of the group. ``picked`` is a
+    bounded sample per group (SA5)."""
+    own = Window.partitionBy(group)
+    number = F.row_number().over(own.orderBy(hash_key(seed, key), F.col(key)))
+    return picked.select(group, F.count(F.lit(1)).over(own).alias("n_examples"), number.alias("number"), key,
+                         snippet("text", length).alias("snippet"))
 
 
 def linear_shap(features: DataFrame, coef: DataFrame, docs: DataFrame, key: str = "row_id") -> DataFrame:
@@ -206,6 +222,7 @@ def explain_by_group(df: DataFrame, scorer, top_groups: int = 5, per_group: int
     """Explain ``per_group`` instances of each of the ``top_groups``
     largest groups; attributions carry their group."""
     from evalspark.operators.sample import sample_top_groups
-    picked = sample_top_groups(df, top_groups, per_group, group, key, seed)
+    # read by the explainer and for the groups: worked out once
+    picked = reliable_checkpoint(sample_top_groups(df, top_groups, per_group, group, key, seed).select(key, "text", group))
     w = explain_lime(picked.select(key, "text"), scorer, num_samples, num_features, seed, key=key)
     return w.join(picked.select(key, group), key)

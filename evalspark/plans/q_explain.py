@@ -24,13 +24,28 @@ def q_x2(spark, sf):
     return X.lime_top_words(Fixtures(spark, sf).token_weights, 20)
 
 
-@register("X3_lime_digest", sql(["fx_token_weights"], final="""
-select row_id, token, round(weight, 6) as weight,
-       case when weight > 0 then 'Stereotype' else 'Non-Stereotype' end as direction, rank
+@register("X3_lime_digest", sql(["fx_token_weights", "fx_samples"], final="""
+select x.row_id, token, round(weight, 6) as weight,
+       case when weight > 0 then 'Stereotype' else 'Non-Stereotype' end as direction, rank,
+       case when s.text is not null then concat(substr(s.text, 1, 100), '...') end as snippet, s.label
 from (select *, cast(row_number() over (partition by row_id order by abs(weight) desc, pos) as integer) as rank from fx_token_weights) x
+left join fx_samples s on s.row_id = x.row_id
 where rank <= 5"""))
 def q_x3(spark, sf):
-    return X.lime_digest(Fixtures(spark, sf).token_weights, 5)
+    fx = Fixtures(spark, sf)
+    return X.lime_digest(fx.token_weights, 5, examples=fx.samples)
+
+
+@register("X5_group_digest", sql(["fx_samples"], ("top", """
+select grp from (select grp, count(*) as n from fx_samples where grp is not null group by grp) c order by n desc, grp limit 5"""),
+    ("picked", """
+select * from (select *, cast(row_number() over (partition by grp order by md5(concat('42:', row_id)), row_id) as integer) as number
+               from fx_samples where grp in (select grp from top)) x where number <= 3"""), final="""
+select grp, count(*) over (partition by grp) as n_examples, number, row_id, concat(substr(text, 1, 80), '...') as snippet
+from picked"""))
+def q_x5_digest(spark, sf):
+    from evalspark.operators.sample import sample_top_groups
+    return X.group_digest(sample_top_groups(Fixtures(spark, sf).samples, 5, 3))
 
 
 def _coef_col(term):
