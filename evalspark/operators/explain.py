@@ -1,16 +1,17 @@
 """Token attributions.
 
-Perturbation explainers are one flat job: instance rows x samples are
-exploded in the JVM with hash-seeded masks, scored in one pass (a Spark ML
-model's ``transform`` or a user scorer through ``mapInPandas``), cut from
-their lineage with ``checkpoint()`` (the shared checkpoint folder) so a lost
-executor does not re-score, and fitted per instance with ``applyInPandas``.
-A group is one instance's samples: its size is the sample budget, not data.
+The perturbation explainers send an instance's words to the tasks a fixed
+number of times (once per block of samples, or once per permutation), never
+once per perturbed text: the texts are made inside the scoring batches, and
+only scores and bitmaps leave them. They are scored there by a user's
+predictor, or by a Spark ML model's ``transform`` in the same stage, and cut
+from their lineage with ``checkpoint()`` (the shared checkpoint folder) so a
+lost executor does not re-score everything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,132 +90,188 @@ def linear_shap(features: DataFrame, coef: DataFrame, docs: DataFrame, key: str
 
 # ---------------------------------------------------------------- perturbations
 
-def _features(df: DataFrame, col: str, key: str) -> DataFrame:
-    toks = F.filter(F.split(F.col(col), WORD_SPLIT), lambda t: t != "")
-    x = df.select(key, toks.alias("_tok"))
-    x = x.withColumn("_feat", F.array_distinct("_tok"))
-    return x.withColumn("_tidx", F.transform("_tok", lambda t: F.array_position("_feat", t) - 1).cast("array<int>")) \
-            .withColumn("_d", F.size("_feat"))
-
-
-def _scorer_probs(scorer, texts: DataFrame, key_cols: list[str], text_col: str = "_text") -> DataFrame:
-    """Probability of class 1 for each text: a Spark ML model or a predictor
-    factory (T9 hook)."""
-    if isinstance(scorer, PipelineModel):
-        out = scorer.transform(texts.withColumnRenamed(text_col, "text"))
-        return out.select(*key_cols, vector_to_array("probability")[1].alias("_score"))
-    from evalspark.operators.models import score_batch
-    s = score_batch(texts.withColumnRenamed(text_col, "text"), scorer, "text", keep=key_cols)
-    p1 = F.filter("scores", lambda e: e["label"] == "LABEL_1")[0]["score"]
-    return s.select(*key_cols, p1.alias("_score"))
+# Samples of an instance that are made and scored from one copy of its words.
+SAMPLE_BLOCK = 50
+# Perturbed texts that are held at once: at most this many, and no more once they have this many letters.
+BATCH_TEXTS, BATCH_CHARS = 64, 1 << 20
+# Words whose mask bits are unpacked at once in a fit.
+FIT_COLUMNS = 512
+
+
+def _words(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
+    """Every instance that has words, with its words in order and the number its random choices start from."""
+    tok = F.filter(F.split(F.col(col), WORD_SPLIT), lambda t: t != "")
+    start = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 62) - 1))
+    return df.select(key, tok.alias("_tok"), start.alias("_start")).where(F.size("_tok") > 0)
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys in as many tasks as a shuffle has: they are few bytes but much work, so
+    they aren't left to be merged by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _coded(tok) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words in order of first occurrence, and for every word of the text its place among them."""
+    place: dict[str, int] = {}
+    ids = np.fromiter((place.setdefault(t, len(place)) for t in tok), dtype=np.int64, count=len(tok))
+    return np.array(list(place), dtype=object), ids
+
+
+def _scored_rows(rows: DataFrame, expand: Callable, scorer, schema: str) -> DataFrame:
+    """The rows of ``schema`` that ``expand(row)`` yields as (values, text) pairs, with ``_score``, the
+    scorer's probability of class 1 for the text. A predictor factory (T9 hook) scores
+    in the batch that makes the texts, which then go no further."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    factory = None if isinstance(scorer, PipelineModel) else scorer
+
+    def batches_of(pdf: pd.DataFrame) -> Iterator[tuple[list, list]]:
+        values, texts, chars = [], [], 0
+        for row in pdf.itertuples(index=False, name=None):
+            for value, text in expand(dict(zip(pdf.columns, row))):
+                values.append(value)
+                texts.append(text)
+                chars += len(text)
+                if len(texts) >= BATCH_TEXTS or chars >= BATCH_CHARS:
+                    yield values, texts
+                    values, texts, chars = [], [], 0
+        if texts:
+            yield values, texts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = factory and factory()
+        for pdf in batches:
+            for values, texts in batches_of(pdf):
+                out = pd.DataFrame(values, columns=names)
+                if predict is None:
+                    out["text"] = texts
+                else:
+                    out["_score"] = [next((float(e["score"]) for e in row if e["label"] == "LABEL_1"), None)
+                                     for row in predict(texts)]
+                yield out
+
+    if factory is not None:
+        return rows.mapInPandas(run, schema + ", _score double")
+    made = rows.mapInPandas(run, schema + ", text string")
+    return scorer.transform(made).select(*names, vector_to_array("probability")[1].alias("_score"))
+
+
+def _lime_samples(num_samples: int, kernel_width: float, key: str) -> Callable:
+    def expand(row: dict) -> Iterator[tuple[tuple, str]]:
+        words, ids = _coded(row["_tok"])
+        tok, d = np.array(row["_tok"], dtype=object), len(words)
+        for s in range(row["_first"], min(row["_first"] + SAMPLE_BLOCK, num_samples)):
+            kept = np.ones(d, dtype=bool)
+            if s > 0 and d > 1:
+                rng = np.random.default_rng([int(row["_start"]), s])
+                kept[rng.choice(d, int(rng.integers(1, d)), replace=False)] = False
+            distance = (1.0 - np.sqrt(kept.sum() / d)) * 100.0
+            kernel = float(np.sqrt(np.exp(-(distance * distance) / kernel_width ** 2)))
+            yield ((row[key], s, np.packbits(kept).tobytes(), kernel, list(words) if s == 0 else None),
+                   " ".join(tok[kept[ids]]))
+    return expand
+
+
+def weighted_ridge(masks: np.ndarray, d: int, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
+    """Coefficients of a ridge fit with weights and an intercept that is not penalised. ``masks``
+    holds the 0/1 features of a sample as packed bits. With more features than
+    samples the fit is solved in the samples: their Gram matrix is the sum of those of blocks of
+    features, so never more than a block is unpacked."""
+    total, root = w.sum(), np.sqrt(w)
+    yc = (y - (w @ y) / total) * root
+
+    def block(first: int, last: int) -> np.ndarray:
+        x = np.unpackbits(masks[:, first // 8:(last + 7) // 8], axis=1)[:, :last - first].astype(float)
+        x -= (w @ x) / total
+        x *= root[:, None]
+        return x
+
+    if d <= len(y):
+        x = block(0, d)
+        return np.linalg.solve(x.T @ x + alpha * np.eye(d), x.T @ yc)
+    starts = range(0, d, FIT_COLUMNS)
+    gram = alpha * np.eye(len(y))
+    for first in starts:
+        x = block(first, min(first + FIT_COLUMNS, d))
+        gram += x @ x.T
+    dual = np.linalg.solve(gram, yc)
+    return np.concatenate([block(first, min(first + FIT_COLUMNS, d)).T @ dual for first in starts])
 
 
 def _lime_fit_fn(num_features: int, alpha: float, key: str):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        feats = pdf.loc[pdf["s"] == 0, "_feat"].iloc[0]
-        d = len(feats)
-        rid = pdf[key].iloc[0]
-        if d == 0:
-            return pd.DataFrame({key: [], "pos": [], "token": [], "weight": []})
-        n = len(pdf)
-        X = np.ones((n, d))
-        for i, rem in enumerate(pdf["_removed"]):
-            if rem is not None and len(rem):
-                X[i, np.asarray(rem, dtype=int)] = 0.0
-        y = pdf["_score"].to_numpy(float)
-        w = pdf["_kernel"].to_numpy(float)
-
-        def ridge(Xs):
-            sw = w.sum()
-            xm = (w @ Xs) / sw
-            ym = (w @ y) / sw
-            r = np.sqrt(w)
-            Xc = (Xs - xm) * r[:, None]
-            yc = (y - ym) * r
-            if Xs.shape[1] <= n:
-                return np.linalg.solve(Xc.T @ Xc + alpha * np.eye(Xs.shape[1]), Xc.T @ yc)
-            return Xc.T @ np.linalg.solve(Xc @ Xc.T + alpha * np.eye(n), yc)
-
-        b = ridge(X)
+        words = pdf.loc[pdf["s"] == 0, "_feat"].iloc[0]
+        d = len(words)
+        masks = np.stack([np.frombuffer(m, dtype=np.uint8) for m in pdf["_mask"]])
+        y, w = pdf["_score"].to_numpy(float), pdf["_kernel"].to_numpy(float)
+        b = weighted_ridge(masks, d, y, w, alpha)
         used = np.argsort(-np.abs(b), kind="stable")[:num_features]
-        b2 = ridge(X[:, used])
-        order = np.argsort(-np.abs(b2), kind="stable")
-        return pd.DataFrame({key: rid, "pos": np.arange(1, len(order) + 1, dtype=np.int32),
-                             "token": [feats[used[i]] for i in order], "weight": b2[order].astype(float)})
+        chosen = np.stack([(masks[:, j // 8] >> (7 - j % 8)) & 1 for j in used], axis=1)
+        b = weighted_ridge(np.packbits(chosen, axis=1), len(used), y, w, alpha)
+        order = np.argsort(-np.abs(b), kind="stable")
+        return pd.DataFrame({key: pdf[key].iloc[0], "pos": np.arange(1, len(order) + 1, dtype=np.int32),
+                             "token": [words[used[i]] for i in order], "weight": b[order]})
     return fit
 
 
 def explain_lime(df: DataFrame, scorer, num_samples: int = 1000, num_features: int = 10, seed: int = 42,
                  kernel_width: float = 25.0, alpha: float = 1.0, col: str = "text", key: str = "row_id") -> DataFrame:
-    """LIME-style word attributions for class 1.
+    """LIME-style word attributions for class 1; ``key`` is unique.
 
     Sample 0 is the instance itself; sample s > 0 removes r in [1, d - 1]
-    distinct words (every occurrence), chosen as the r smallest
-    xxhash64(seed, key, s, j). The kernel is sqrt(exp(-(100 * cosine
-    distance)^2 / width^2)); a weighted ridge fit selects the
-    ``num_features`` largest coefficients and refits on them."""
-    f = _features(df, col, key)
-    s = f.select(key, "_tok", "_tidx", "_feat", "_d",
-                 F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("s"))
-    s = s.repartition(key, "s")  # the samples of a few instances are built and scored in many tasks
-    dm1 = F.greatest(F.col("_d") - 1, F.lit(1))
-    r = F.when((F.col("s") == 0) | (F.col("_d") < 2), F.lit(0)).otherwise(
-        1 + F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("s")), dm1.cast("long")).cast("int"))
-    s = s.withColumn("_r", r)
-    hashed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_d") - 1, F.lit(0))),
-                         lambda j: F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("s"), j).alias("h"), j.alias("j")))
-    s = s.withColumn("_sorted", F.when(F.col("_d") > 0, F.array_sort(hashed)))
-    s = s.withColumn("_removed", F.transform(F.slice("_sorted", 1, F.col("_r")), lambda e: e["j"]).cast("array<int>"))
-    thr = F.when(F.col("_r") > 0, F.element_at("_sorted", F.col("_r"))["h"])
-    s = s.withColumn("_thr", thr)
-    kept = F.filter(F.arrays_zip("_tok", "_tidx"), lambda e: F.col("_thr").isNull() |
-                    (F.xxhash64(F.lit(seed), F.col(key), F.col("s"), e["_tidx"]) > F.col("_thr")))
-    s = s.withColumn("_text", F.array_join(F.transform(kept, lambda e: e["_tok"]), " "))
-    kept_frac = (F.col("_d") - F.col("_r")) / F.greatest(F.col("_d"), F.lit(1))
-    dist = (F.lit(1.0) - F.sqrt(kept_frac)) * 100.0
-    s = s.withColumn("_kernel", F.sqrt(F.exp(-(dist * dist) / (kernel_width ** 2))))
-    s = s.withColumn("_feat", F.when(F.col("s") == 0, F.col("_feat")))
-    keep = [key, "s", "_removed", "_kernel", "_feat"]  # they ride along with the scorer: no join afterwards
-    scored = reliable_checkpoint(_scorer_probs(scorer, s.select(*keep, "_text"), keep))  # scoring is the expensive step
-    schema = f"{key} long, pos int, token string, weight double"
-    return scored.groupBy(key).applyInPandas(_lime_fit_fn(num_features, alpha, key), schema)
+    distinct words (every occurrence), drawn by a generator that starts from (seed, key, s). The
+    kernel is sqrt(exp(-(100 * cosine distance)^2 / width^2)); a weighted
+    ridge fit selects the ``num_features`` largest coefficients and refits on
+    them. A sample reaches the fit as one bit for each distinct word. Null and empty texts
+    have no words and no attributions."""
+    key_type = df.schema[key].dataType.simpleString()
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1), F.lit(SAMPLE_BLOCK)))
+    rows = _spread(_words(df, col, key, seed).select("*", blocks.alias("_first")), key, "_first")
+    scored = _scored_rows(rows, _lime_samples(num_samples, kernel_width, key), scorer,
+                          f"{key} {key_type}, s int, _mask binary, _kernel double, _feat array<string>")
+    schema = f"{key} {key_type}, pos int, token string, weight double"
+    return reliable_checkpoint(scored).groupBy(key).applyInPandas(_lime_fit_fn(num_features, alpha, key), schema)
+
+
+def _coalitions(key: str) -> Callable:
+    def expand(row: dict) -> Iterator[tuple[tuple, str]]:
+        words, ids = _coded(row["_tok"])
+        tok, d = np.array(row["_tok"], dtype=object), len(words)
+        order = np.random.default_rng([int(row["_start"]), int(row["p"])]).permutation(d)
+        rank = np.empty(d, dtype=np.int64)
+        rank[order] = np.arange(d)
+        rank = rank[ids]
+        for k in range(d + 1):
+            added, following = (order[k - 1] if k else None), (order[k] if k < d else None)
+            yield ((row[key], *((None, None) if added is None else (int(added) + 1, words[added])),
+                    *((None, None) if following is None else (int(following) + 1, words[following]))),
+                   " ".join(tok[rank < k]))
+    return expand
 
 
 def explain_shap_sampled(df: DataFrame, scorer, permutations: int = 8, seed: int = 42, col: str = "text",
                          key: str = "row_id") -> DataFrame:
-    """X4 (b): sampled permutation Shapley values for a black-box scorer.
+    """X4 (b): sampled permutation Shapley values for a black-box scorer; ``key`` is unique.
 
-    For permutation p of an instance's distinct words (order by
-    xxhash64(seed, key, p, j)), coalition k holds the first k words; the
+    For permutation p of an instance's distinct words (drawn by a generator
+    that starts from (seed, key, p)), coalition k holds the first k words; the
     score difference between coalitions k and k-1 is credited to the k-th
     word; values are averaged over permutations. Masked words are removed
-    (every occurrence). Built as explode -> score -> window ``lag`` ->
-    aggregate; no Python beyond the scorer."""
-    f = _features(df, col, key)
-    x = f.select(key, "_tok", "_tidx", "_feat", "_d",
-                 F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("p"))
-    order = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_d") - 1, F.lit(0))),
-                        lambda j: F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("p"), j).alias("h"), j.alias("j")))
-    x = x.withColumn("_perm", F.when(F.col("_d") > 0, F.transform(F.array_sort(order), lambda e: e["j"])))
-    # inverse permutation: rank of every feature; feature j is in coalition k when rank < k
-    inv = F.transform(F.array_sort(F.transform(F.coalesce("_perm", F.array().cast("array<int>")),
-                                               lambda v, i: F.struct(v.alias("v"), i.alias("i")))),
-                      lambda e: e["i"])
-    x = x.withColumn("_rank", inv)
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("k")).repartition(key, "p", "k")
-    kept = F.filter(F.col("_tok"), lambda t, i: F.element_at("_rank", F.element_at("_tidx", i + 1) + 1) < F.col("k"))
-    x = x.withColumn("_text", F.array_join(kept, " "))
-    x = x.withColumn("_added", F.when(F.col("k") > 0, F.element_at("_perm", F.col("k"))))
-    x = x.withColumn("_feat", F.when((F.col("p") == 0) & (F.col("k") == 0), F.col("_feat")))
-    keep = [key, "p", "k", "_added", "_feat"]  # they ride along with the scorer: no join afterwards
-    sc = reliable_checkpoint(_scorer_probs(scorer, x.select(*keep, "_text"), keep))
-    w = Window.partitionBy(key, "p").orderBy("k")
-    contrib = sc.withColumn("_delta", F.col("_score") - F.lag("_score").over(w)).where(F.col("k") > 0)
-    phi = contrib.groupBy(key, "_added").agg(F.avg("_delta").alias("phi"))
-    feats = sc.where((F.col("p") == 0) & (F.col("k") == 0)).select(key, "_feat")
-    out = phi.join(feats, key).select(key, (F.col("_added") + 1).alias("pos"),
-                                      F.element_at("_feat", F.col("_added") + 1).alias("token"), "phi")
-    return out
+    (every occurrence). ``pos`` numbers the distinct words from 1 in order of first occurrence.
+
+    A permutation travels as one row; a score counts for the word its coalition adds and
+    against the word added next, so one aggregate by word gives all differences. The
+    bytes shuffled are linear in the text. Null and empty texts have no values."""
+    key_type = df.schema[key].dataType.simpleString()
+    turns = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
+    rows = _spread(_words(df, col, key, seed).select("*", turns.alias("p")), key, "p")
+    scored = _scored_rows(rows, _coalitions(key), scorer, f"{key} {key_type}, _pos int, _token string, _pos2 int, _token2 string")
+    shares = F.explode(F.array(
+        F.struct(F.col("_pos").alias("pos"), F.col("_token").alias("token"), F.col("_score").alias("v")),
+        F.struct(F.col("_pos2").alias("pos"), F.col("_token2").alias("token"), (-F.col("_score")).alias("v"))))
+    sums = scored.select(key, shares.alias("_e")).where(F.col("_e.pos").isNotNull())
+    return (sums.groupBy(key, F.col("_e.pos").alias("pos"), F.col("_e.token").alias("token"))
+            .agg((F.sum("_e.v") / F.lit(float(permutations))).alias("phi")))
 
 
 def explain_by_group(df: DataFrame, scorer, top_groups: int = 5, per_group: int = 3, num_samples: int = 1000,

@@ -96,6 +96,24 @@ def q_x4b(spark, sf):
     return X.explain_shap_sampled(s.select("row_id", "text"), _scorer())
 
 
+@register("X4b_shap_additivity", sql(["fx_samples"], ("top", """
+select grp from (select grp, count(*) as n from fx_samples where grp is not null group by grp) c order by n desc, grp limit 5"""),
+    ("picked", """
+select * from (select *, row_number() over (partition by grp order by md5(concat('42:', row_id)), row_id) as number
+               from fx_samples where grp in (select grp from top)) x where number <= 3"""), ("toks", """
+select row_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) as word from picked"""), final=f"""
+select row_id, count(distinct word) as n_words,
+       round(1.0 / (1.0 + exp(-sum(2.0 * {U("word")} - 1.0) / sqrt(count(*)))) - 0.5, 6) as phi_sum
+from toks group by row_id"""))
+def q_x4b_additivity(spark, sf):
+    """The values of an instance sum to the score of its text less that of the empty text."""
+    from evalspark.operators.models import hashed_predictor_factory
+    from evalspark.operators.sample import sample_top_groups
+    s = sample_top_groups(Fixtures(spark, sf).samples, 5, 3)
+    phi = X.explain_shap_sampled(s.select("row_id", "text"), hashed_predictor_factory)
+    return phi.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_words"), r6(F.sum("phi")).alias("phi_sum"))
+
+
 @register("X5_explain_by_group")
 def q_x5(spark, sf):
     return X.explain_by_group(Fixtures(spark, sf).samples, _scorer(), 5, 3, num_samples=1000)
