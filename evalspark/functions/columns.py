@@ -3,6 +3,8 @@ functions, so they stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,24 @@ def significance_stars(chi2) -> Column:
             .when(x > CHI2_1_CRIT_05, "*").otherwise("ns"))
 
 
+# Terms of the series and levels of the continued fraction: rounding error is all that is left.
+SERIES_TERMS, FRACTION_LEVELS = 45, 60
+
+
+def chi2_1_sf(chi2) -> Column:
+    """P(chi-square with 1 degree of freedom > x) = erfc(sqrt(x / 2)), null for null. Below 8 one less the
+    series of erf in products of x / 3, x / 5, ...; from there the continued
+    fraction of erfc with the parts 1 / x, 2 / x, ...; both from the inside out."""
+    x = F.greatest(_c(chi2).cast("double"), F.lit(0.0))
+    x = F.when(_c(chi2).isNotNull(), x)
+    inward = F.sequence(F.lit(SERIES_TERMS), F.lit(1))
+    series = F.aggregate(inward, F.lit(1.0), lambda acc, k: F.lit(1.0) + x / (2 * k + 1) * acc)
+    inward = F.sequence(F.lit(FRACTION_LEVELS), F.lit(1))
+    fraction = F.aggregate(inward, F.lit(1.0), lambda acc, k: F.lit(1.0) + k / x / acc)
+    small = F.lit(1.0) - F.sqrt(x * (2.0 / math.pi)) * F.exp(-x / 2) * series
+    return F.when(x < 8.0, small).otherwise(F.exp(-x / 2) / F.sqrt(x * (math.pi / 2)) / fraction)
+
+
 def safe_partition_name(group) -> Column:
     """Folder-safe group name: '/' becomes '_'."""
     return F.regexp_replace(_c(group), "/", "_")

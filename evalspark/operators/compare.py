@@ -25,8 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.columns import CHI2_1_CRIT_05, hash_uniform, r6, significance_stars
-from evalspark.functions.stats_udf import chi2_1_sf
+from evalspark.functions.columns import CHI2_1_CRIT_05, chi2_1_sf, hash_uniform, r6, significance_stars
 from evalspark.operators.metrics import A, P, averages, class_stats, slice_summary
 from evalspark.operators.stats import histogram
 from evalspark.session import reliable_checkpoint

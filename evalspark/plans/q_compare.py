@@ -161,6 +161,27 @@ def q_c4(spark, sf):
     return m.select("pair_id", "b", "c", r6("chi2").alias("chi2"), "stars")
 
 
+def _p_sql(x: str) -> str:
+    """erfc(sqrt(x / 2)) by the series below 8 and the continued fraction from 8 on, written out."""
+    series = fraction = "1.0::double"
+    for k in range(45, 0, -1):
+        series = f"(1.0 + {x} / {2 * k + 1} * {series})"
+    for k in range(60, 0, -1):
+        fraction = f"(1.0 + {k} / {x} / {fraction})"
+    return (f"case when {x} < 8 then 1.0 - sqrt(2.0 * {x} / pi()) * exp(-{x} / 2.0) * {series} "
+            f"else exp(-{x} / 2.0) / sqrt(pi() * {x} / 2.0) / {fraction} end")
+
+
+@register("C4_mcnemar_p_value", sql(["fx_predictions", "fx_registry"], ALIGNED, CONT, MCN, final=f"""
+select pair_id, b, c, case when b + c > 0 then round({_p_sql("chi2")}, 6) else 1.0 end as p_value,
+       case when b + c > 0 and chi2 < 1000 then round(ln({_p_sql("chi2")}), 6) end as ln_p from mc"""))
+def q_c4_p(spark, sf):
+    """The p-value, and its logarithm, since the p-values of unlike models are zero to any number of places."""
+    m = C.mcnemar(C.paired_contingency(_cells(spark, sf)))
+    told = (F.col("b") + F.col("c") > 0) & (F.col("chi2") < 1000)
+    return m.select("pair_id", "b", "c", r6("p_value").alias("p_value"), F.when(told, r6(F.log("p_value"))).alias("ln_p"))
+
+
 @register("C6h_bootstrap_hash", sql(["fx_predictions", "fx_registry"], ALIGNED, *BOOT, final="""
 select pair_id, rep, round(delta_f1, 6) as delta_f1 from deltas"""))
 def q_c6h(spark, sf):

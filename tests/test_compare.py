@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.functions.stats_udf import chi2_1_sf_values
+from evalspark.functions.columns import chi2_1_sf
 from evalspark.operators import compare as C
 
 # Published (b, c) -> (chi2, p, stars) of the eight comparisons.
@@ -31,8 +31,9 @@ def test_no_discordant(spark):
     assert r["chi2"] == 0.0 and r["p_value"] == 1.0 and r["stars"] == "ns"
 
 
-def test_sf_matches_reference_points():
-    assert chi2_1_sf_values(np.array([3.841458820694124]))[0] == pytest.approx(0.05, abs=1e-9)
+def test_tail_at_the_critical_value(spark):
+    p = spark.range(1).select(chi2_1_sf(F.lit(3.841458820694124))).first()[0]
+    assert p == pytest.approx(0.05, abs=1e-12)
 
 
 def _preds(spark, rows):
@@ -130,3 +131,17 @@ def test_alignment_shuffles_once_for_any_number_of_pairs(spark):
                                     "pair_id int, model_a string, model_b string, name string, category string")
         plan = C.aligned_rows(C.tag_sides(p, reg))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(row_id") == 1 and "Join" not in plan
+
+
+def test_chi_square_tail_is_that_of_erfc(spark):
+    import math
+
+    x = spark.range(0, 20_001).select((F.col("id") / 20.0).alias("x")).union(spark.range(0, 2000).select(F.col("id") / 211.0))
+    rows = x.select("x", chi2_1_sf("x").alias("p")).collect()
+    for r in rows:
+        want = math.erfc(math.sqrt(r["x"] / 2))
+        assert abs(r["p"] - want) < 1e-14 and abs(r["p"] - want) <= 1e-12 * want
+    odd = spark.sql("select cast(null as double) as x union all select -1.0D union all select 5000.0D")
+    assert [r["p"] for r in odd.select(chi2_1_sf("x").alias("p")).collect()] == [None, 1.0, 0.0]
+    plan = x.select(chi2_1_sf("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
