@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.sources.quoted import read_quoted
+
 PAIRS_SCHEMA = "sent_more string, sent_less string, stereo_antistereo string, bias_type string"
 PREDICTIONS_SCHEMA = ("row_id long, text string, actual_label int, predicted_label int, "
                       "predicted_probability double, grp string, dataset_name string")
@@ -16,19 +18,22 @@ PREDICTIONS_SCHEMA = ("row_id long, text string, actual_label int, predicted_lab
 def read_delimited(spark: SparkSession, path: str, schema: str = PAIRS_SCHEMA, sep: str = "\t",
                    header: bool = True, multi_line: bool = True) -> DataFrame:
     """Delimited text with quoted fields that may hold separators,
-    doubled quotes and line breaks. With ``multi_line`` every file is one
-    task; without it large files are split, and fields may not hold line
-    breaks."""
+    doubled quotes and line breaks; large files are read in splits. Without
+    ``multi_line`` fields may not hold line breaks, and nothing is read at the call."""
+    if multi_line:
+        return read_quoted(spark, path, schema, sep, header)
     return (spark.read.schema(schema)
-            .option("sep", sep).option("header", header).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).csv(path))
+            .option("sep", sep).option("header", header).option("quote", '"').option("escape", '"').csv(path))
 
 
 def read_samples(spark: SparkSession, path: str, columns: Mapping[str, str] | None = None,
                  fmt: str = "parquet", schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read and keep only ``{output: source}`` columns (column pruning
     reaches the scan: ``ReadSchema`` lists only those). CSV: ``multi_line``
-    as in S1."""
+    as in S1; without a schema its columns are found by their header, and a file is one task."""
+    if fmt == "csv" and schema and multi_line:
+        df = read_quoted(spark, path, schema, ",")
+        return df.select(*[F.col(src).alias(dst) for dst, src in columns.items()]) if columns else df
     r = spark.read
     if schema:
         r = r.schema(schema)

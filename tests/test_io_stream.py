@@ -119,3 +119,71 @@ def test_comparison_summary_by_category(spark):
     got = [r["line"] for r in IO.comparison_summary_lines(c).orderBy("category", "line_no").collect()]
     assert got == ["x: 2 comparisons, 1 done, 1 failed", "  A vs B: B significantly better", "  A vs C: no_common_rows",
                    "y: 1 comparisons, 1 done, 0 failed", "  B vs C: no significant difference"]
+
+
+def _in_small_splits(spark, size):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    return old
+
+
+def test_quoted_files_are_read_in_splits(spark, tmpdir_fresh):
+    import random
+
+    rng = random.Random(3)
+    alphabet = ["a", "bc", " ", '""', ",", "\n", "\r\n", "\n\n", "x" * 30, "é"]
+
+    def field():
+        kind = rng.random()
+        if kind < 0.2:
+            return rng.choice(["", "plain", 'mid"quote', "two words", 'q"x"'])
+        return '"' + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) + '"'
+
+    folder = os.path.join(tmpdir_fresh, "many")
+    os.makedirs(folder)
+    for k, end in enumerate(["\n", "\r\n", "\n"]):
+        with open(os.path.join(folder, f"f{k}.csv"), "w", newline="") as f:
+            f.write(f'id,"one{end}column",two{end}')
+            for i in range(150):
+                f.write(f"{k * 1000 + i},{field()},{field()}" + end)
+                if i == 70:
+                    f.write(f'{k * 1000 + 900},"' + "long line\n" * 300 + '",end' + end)
+    schema = "id int, one string, two string"
+    plain = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+
+    def rows(df):  # Spark's own reader makes the line breaks within fields of a CRLF file plain ones
+        return sorted((r["id"], *((x or "").replace("\r\n", "\n") for x in (r["one"], r["two"])), r["one"] is None) for r in df.collect())
+
+    want = rows(plain.option("multiLine", True).csv(folder))
+    assert len(want) == 453
+    for size in (1 << 20, 900, 300):
+        old = _in_small_splits(spark, size)
+        try:
+            df = IO.read_delimited(spark, folder, schema, sep=",")
+            got = rows(df)
+            tasks = spark.read.option("lineSep", "\n").text(folder).rdd.getNumPartitions()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+        assert got == want
+        assert tasks > 30 or size > 900
+
+
+def test_state_behind_a_line():
+    from evalspark.sources.quoted import open_behind
+
+    after = open_behind(",")
+    assert [after(x, False) for x in ['a,b', 'a"b,c', '"a,b"', '"a""', '"a"""', 'x,"', 'x,""', '"a"b"c,d', ',', '"']] == \
+        [False, False, False, True, False, True, False, False, False, True]
+    assert [after(x, True) for x in ['a', 'a"', 'a""', 'a"""', 'a",b', 'a","b', '']] == [True, False, True, False, False, True, True]
+
+
+def test_quoted_reader_of_empty_and_unclosed_files(spark, tmpdir_fresh):
+    folder = os.path.join(tmpdir_fresh, "odd")
+    os.makedirs(folder)
+    for name, text in (("empty.csv", ""), ("head.csv", "a,b\n"), ("last.csv", 'a,b\n\n1,"x"'), ("blank.csv", "a,b\r\n\r\n2,y\r\n")):
+        with open(os.path.join(folder, name), "w", newline="") as f:
+            f.write(text)
+    got = sorted(map(tuple, IO.read_delimited(spark, folder, "a int, b string", sep=",").collect()))
+    assert got == [(1, "x"), (2, "y")]
