@@ -79,12 +79,16 @@ def q_a4(spark, sf):
     return S.dataset_stats(_combined(spark, sf))
 
 
-@register("V2_generate", sql(["fx_samples"], ("w", r"""
+# The variants of the offline generator: CTEs and the final select.
+HALVES = (("w", r"""
 select row_id, grp, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from fx_samples"""), ("h", """
 select row_id, grp, array_to_string(w[1:greatest(1, len(w) // 2)], ' ') as neutral,
-       array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') as unrelated from w"""), final="""
+       array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') as unrelated from w"""), """
 select row_id, 'neutral' as origin, neutral as text, 'neutral' as label, grp from h where neutral <> ''
-union all select row_id, 'unrelated', unrelated, 'unrelated', grp from h where unrelated <> ''"""))
+union all select row_id, 'unrelated', unrelated, 'unrelated', grp from h where unrelated <> ''""")
+
+
+@register("V2_generate", sql(["fx_samples"], *HALVES[:-1], final=HALVES[-1]))
 def q_v2(spark, sf):
     """Prompts of every sample through the offline generator, parsed back into variants."""
     p = V.build_prompt(Fixtures(spark, sf).samples.select("row_id", "text", "grp"))

@@ -52,7 +52,7 @@ def q_m1(spark, sf):
     return c.withColumn("sum_prob", r6("sum_prob"))
 
 
-_M2_SQL = [CELLS,
+M2_SQL = [CELLS,
            ("labs", "select distinct model, actual_label as lab from cells"),
            ("grid", "select a.model, a.lab as actual_label, b.lab as predicted_label from labs a join labs b on a.model = b.model"),
            ("m", """select g.model, g.actual_label, g.predicted_label, cast(coalesce(c.n, 0) as bigint) as n
@@ -60,18 +60,18 @@ _M2_SQL = [CELLS,
                     and g.predicted_label = c.predicted_label""")]
 
 
-@register("M2_confusion_matrix", sql(["fx_predictions"], *_M2_SQL, final="select * from m"))
+@register("M2_confusion_matrix", sql(["fx_predictions"], *M2_SQL, final="select * from m"))
 def q_m2(spark, sf):
     return M.confusion_matrix(Fixtures(spark, sf).predictions)
 
 
 @register("M2_confusion_matrix_3class", sql(["fx_predictions3"], *[
-    (n, b.replace("fx_predictions", "fx_predictions3")) for n, b in _M2_SQL], final="select * from m"))
+    (n, b.replace("fx_predictions", "fx_predictions3")) for n, b in M2_SQL], final="select * from m"))
 def q_m2_3(spark, sf):
     return M.confusion_matrix(Fixtures(spark, sf).predictions3)
 
 
-@register("M3_confusion_matrix_normalized", sql(["fx_predictions"], *_M2_SQL, final="""
+@register("M3_confusion_matrix_normalized", sql(["fx_predictions"], *M2_SQL, final="""
 select model, actual_label, predicted_label, n,
        round(case when sum(n) over (partition by model, actual_label) > 0
                   then n / sum(n) over (partition by model, actual_label) else 0 end, 6) as row_share
@@ -177,7 +177,7 @@ def q_m12(spark, sf):
 
 
 @register("M2_confusion_matrix_wide", sql(["fx_predictions3"], *[
-    (n, b.replace("fx_predictions", "fx_predictions3")) for n, b in _M2_SQL], final="""
+    (n, b.replace("fx_predictions", "fx_predictions3")) for n, b in M2_SQL], final="""
 select model, actual_label,
        max(case when predicted_label = 0 then n end) as "0",
        max(case when predicted_label = 1 then n end) as "1",

@@ -58,6 +58,7 @@ def load_all() -> None:
         q_errors,
         q_explain,
         q_generate,
+        q_io,
         q_metrics,
         q_models,
         q_prep,

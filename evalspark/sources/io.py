@@ -77,12 +77,13 @@ def read_available(spark: SparkSession, paths: Mapping[str, str], fmt: str = "pa
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] | None = None) -> None:
-    """Write a table; CSV with a header and quoting that round-trips."""
+    """Write a table; CSV with a header and quoting that round-trips, blanks at a field's ends included."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("quote", '"').option("escape", '"')
+        w = (w.option("header", True).option("quote", '"').option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(path)
 
 
@@ -93,13 +94,14 @@ def write_by_label(df: DataFrame, path: str, label: str = "label", fmt: str = "p
 
 
 def write_text_report(lines: DataFrame, path: str, by: Sequence[str] = (), line_col: str = "line",
-                      order_col: str = "line_no", mode: str = "overwrite") -> None:
-    """Write report lines as text, one folder per ``by`` value, lines in
-    ``order_col`` order within it."""
+                      order: Sequence[str] | None = None, mode: str = "overwrite") -> None:
+    """Write report lines as text in ``order`` (section, if there is one, and line_no). With ``by`` one
+    folder per value, its lines in order within one file; without, files whose names are in
+    the order of their lines."""
     by = list(by)
-    df = lines.repartition(*by) if by else lines.coalesce(1)
-    df = df.sortWithinPartitions(*by, order_col).select(*by, line_col)
-    w = df.write.mode(mode)
+    order = list(order) if order is not None else [c for c in ("section", "line_no") if c in lines.columns]
+    df = lines.repartition(*by).sortWithinPartitions(*by, *order) if by else lines.orderBy(*order)
+    w = df.select(*by, line_col).write.mode(mode)
     if by:
         w = w.partitionBy(*by)
     w.text(path)
@@ -143,11 +145,11 @@ def comparison_summary_lines(compare: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, section: int, order, line) -> DataFrame:
-    """(model, line_no, line): lines of a section behind those of lower sections."""
+    """(model, section, line_no, line): the lines of one section of each model's report, numbered from 1."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("model").orderBy(*order))
-    return df.select("model", (F.lit(section) * 1_000_000 + place).cast("long").alias("line_no"), line.alias("line"))
+    return df.select("model", F.lit(section).alias("section"), place.cast("long").alias("line_no"), line.alias("line"))
 
 
 def confusion_report_lines(cells: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from evalspark.streaming import expand_incremental
 
 
 def test_csv_quotes_round_trip(spark, tmpdir_fresh):
-    rows = [('he said "hi", then left', "less, with comma", "stereo", "g1"),
+    rows = [('he said "hi", then left', "less, with comma", "stereo", "g1"), ("  padded ", "\ttab", " ", "g3"),
             ("line\nbreak", 'double ""quotes""', None, "g2")]
     df = spark.createDataFrame(rows, IO.PAIRS_SCHEMA)
     path = os.path.join(tmpdir_fresh, "pairs")
-    df.coalesce(1).write.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.coalesce(1).write.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     back = IO.read_delimited(spark, path)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
     out = os.path.join(tmpdir_fresh, "csv")
@@ -101,14 +102,14 @@ def test_reports_from_golden_cells(spark):
 
     p = preds_from_cells(spark, {(0, 0): 603, (0, 1): 68, (1, 0): 86, (1, 1): 249}, grp="g")
     cells = confusion_cells(p)
-    lines = [r["line"] for r in IO.confusion_report_lines(cells).orderBy("line_no").collect()]
+    lines = [r["line"] for r in IO.confusion_report_lines(cells).orderBy("section", "line_no").collect()]
     assert lines[:2] == ["Actual 0, predicted 0: 603 (89.87%)", "Actual 0, predicted 1: 68 (10.13%)"]
     assert "Class 1: 335 rows, 249 correct (74.33%), 86 errors" in lines
     assert lines[-2:] == ["Class 1 taken for 0: 86 (25.67%)", "Class 0 taken for 1: 68 (10.13%)"]
-    spread = [r["line"] for r in IO.variance_report_lines(group_stats(cells)).orderBy("line_no").collect()]
+    spread = [r["line"] for r in IO.variance_report_lines(group_stats(cells)).orderBy("section", "line_no").collect()]
     assert spread[0] == "1 groups: mean F1 0.8253, std 0.0000, min 0.8253, max 0.8253, range 0.0000, CV 0.00%"
     assert spread[1] == "g: F1 0.8253, +0.0000 to the mean (above)" and len(spread) == 4
-    cases = [r["line"] for r in IO.failure_report_lines(p, 3).orderBy("line_no").collect()]
+    cases = [r["line"] for r in IO.failure_report_lines(p, 3).orderBy("section", "line_no").collect()]
     assert len(cases) == 3 and cases[0].startswith("1. [g] actual 0, predicted 1, confidence 0.9000: t603")
 
 
@@ -187,3 +188,15 @@ def test_quoted_reader_of_empty_and_unclosed_files(spark, tmpdir_fresh):
             f.write(text)
     got = sorted(map(tuple, IO.read_delimited(spark, folder, "a int, b string", sep=",").collect()))
     assert got == [(1, "x"), (2, "y")]
+
+
+def test_reports_are_written_in_order(spark, tmpdir_fresh):
+    lines = spark.range(5000).repartition(7).select((F.col("id") % 2).cast("int").alias("section"), F.col("id").alias("line_no"),
+                                                    F.format_string("%d", "id").alias("line"))
+    out = os.path.join(tmpdir_fresh, "ordered")
+    IO.write_text_report(lines, out)
+    got = []
+    for name in sorted(f for f in os.listdir(out) if f.startswith("part-")):
+        with open(os.path.join(out, name)) as f:
+            got += [int(x) for x in f.read().split()]
+    assert got == [*range(0, 5000, 2), *range(1, 5000, 2)]
