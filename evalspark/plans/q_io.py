@@ -23,29 +23,33 @@ def _folder(spark, name: str) -> str:
     return checkpoint_subdir(spark, f"queries/{name}-{uuid.uuid4().hex}")
 
 
+def _documents(spark, sf):
+    return Fixtures(spark, sf).table("documents").select("doc_id", "text", "lang", "source")
+
+
 def _samples(spark, sf):
     return Fixtures(spark, sf).samples.select("row_id", "text", "label", "grp")
 
 
 # Fields with quotes, separators, line breaks and blanks at their ends.
-_ODD = """' ' || text || chr(10) || '"' || grp || '",' || chr(9) || label || chr(10)"""
+_ODD = """' ' || text || chr(10) || '"' || source || '",' || chr(9) || lang || chr(10)"""
 
 
-@register("S1_read_delimited", sql(["fx_samples"], final=f"select row_id, {_ODD} as text, label, grp from fx_samples"))
+@register("S1_read_delimited", f"select doc_id, {_ODD} as text, lang, source from documents")
 def q_s1(spark, sf):
     path = _folder(spark, "s1")
-    table = _samples(spark, sf).withColumn("text", F.expr(_ODD))
+    table = _documents(spark, sf).withColumn("text", F.expr(_ODD))
     table.write.options(sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
                         ignoreTrailingWhiteSpace=False).csv(path)
-    return IO.read_delimited(spark, path, "row_id long, text string, label string, grp string")
+    return IO.read_delimited(spark, path, "doc_id long, text string, lang string, source string")
 
 
-@register("S2_read_samples_csv", sql(["fx_samples"], final="select row_id as id, text as sentence from fx_samples"))
+@register("S2_read_samples_csv", "select doc_id as id, text as sentence from documents")
 def q_s2_csv(spark, sf):
     path = _folder(spark, "s2")
-    IO.write_table(_samples(spark, sf), path, fmt="csv")
-    return IO.read_samples(spark, path, {"id": "row_id", "sentence": "text"}, "csv",
-                           "row_id long, text string, label string, grp string")
+    IO.write_table(_documents(spark, sf), path, fmt="csv")
+    return IO.read_samples(spark, path, {"id": "doc_id", "sentence": "text"}, "csv",
+                           "doc_id long, text string, lang string, source string")
 
 
 @register("S4_read_available", sql(["fx_predictions"], final="""
@@ -61,19 +65,19 @@ def q_s4(spark, sf):
                                       F.count_if(F.col("actual_label") == F.col("predicted_label")).alias("n_correct"))
 
 
-@register("S5_write_table", sql(["fx_samples"], final="select row_id, text, label, grp from fx_samples"))
+@register("S5_write_table", "select doc_id, text, lang, source from documents")
 def q_s5(spark, sf):
     path = _folder(spark, "s5")
-    IO.write_table(_samples(spark, sf), path, partition_by=["grp"])
-    return spark.read.parquet(path).select("row_id", "text", "label", "grp")
+    IO.write_table(_documents(spark, sf), path, partition_by=["source"])
+    return spark.read.parquet(path).select("doc_id", "text", "lang", "source")
 
 
-@register("S6_write_by_label", sql(["fx_samples"], final="select row_id, text, label, concat('label=', label) as folder from fx_samples"))
+@register("S6_write_by_label", "select doc_id, text, lang, 'lang=' || lang as folder from documents")
 def q_s6(spark, sf):
     path = _folder(spark, "s6")
-    IO.write_by_label(_samples(spark, sf).drop("grp"), path)
-    folder = F.regexp_extract(F.input_file_name(), "/(label=[^/]*)/", 1)
-    return spark.read.parquet(path).select("row_id", "text", "label", folder.alias("folder"))
+    IO.write_by_label(_documents(spark, sf), path, "lang")
+    folder = F.regexp_extract(F.input_file_name(), "/(lang=[^/]*)/", 1)
+    return spark.read.parquet(path).select("doc_id", "text", "lang", folder.alias("folder"))
 
 
 def _pct(share: str) -> str:
