@@ -145,3 +145,14 @@ def test_chi_square_tail_is_that_of_erfc(spark):
     assert [r["p"] for r in odd.select(chi2_1_sf("x").alias("p")).collect()] == [None, 1.0, 0.0]
     plan = x.select(chi2_1_sf("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_text_key_alignment_of_a_repeated_text(spark):
+    """Published: 1,006 predictions a side with one text twice align to 1,008 rows."""
+    rows = [(m, i, f"t{min(i, 1004)}", i % 2 if i < 1004 else 0, 0) for m in "AB" for i in range(1006)]
+    registry = spark.createDataFrame([(1, "A", "B", "A vs B", "x")],
+                                     "pair_id int, model_a string, model_b string, name string, category string")
+    tagged = C.tag_sides(_preds(spark, rows), registry, "text")
+    r = C.paired_contingency(C.paired_cells(tagged, "text", "text")).first()
+    assert (r["n_a"], r["n_b"], r["n_common"]) == (1006, 1006, 1008)
+    assert (r["both_correct"], r["both_wrong"], r["b"], r["c"]) == (506, 502, 0, 0)
