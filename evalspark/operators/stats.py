@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import r6
+from evalspark.operators.quantiles import attach_null_safe, exact_quantiles
+from evalspark.session import reliable_checkpoint
 
 
 def _attach(rows: DataFrame, per_key: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -68,24 +70,32 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
 
 def five_number(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles (linear interpolation), IQR, whiskers at 1.5 IQR and the
-    outlier count. Meant for aggregated series (group metrics, bootstrap
-    replicates): exact percentiles keep one group's values in memory."""
+    outlier count. Quartiles come from radix selection, so columns and groups
+    of any size do; a group without values has no row, null groups are a group."""
     by = list(by)
-    x = F.col(col).cast("double")
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    names = [f"_b{i}" for i in range(len(by))]
+    base = df.select(*[F.col(c).alias(n) for n, c in zip(names, by)], F.col(col).cast("double").alias("_x"))
+    base = base.where(F.col("_x").isNotNull())
+    # written, for the quartiles are joined to the rows by size
+    q = reliable_checkpoint(exact_quantiles(base, "_x", (0.25, 0.5, 0.75), names))
+    q = q.select(*names, *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
-    j = _attach(base, q, by, ["q1", "median", "q3", "iqr"])
-    s = j.groupBy(*by, "q1", "median", "q3", "iqr").agg(
+    measures = ["q1", "median", "q3", "iqr"]
+    s = attach_null_safe(base, q, names, measures).groupBy(*names, *measures).agg(
         F.min(F.when(F.col("_x") >= lo_f, F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= hi_f, F.col("_x"))).alias("whisker_hi"),
         F.count(F.when((F.col("_x") < lo_f) | (F.col("_x") > hi_f), 1)).alias("n_outliers"))
-    return s.select(*by, r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
-                    r6("iqr").alias("iqr"), r6("whisker_lo").alias("whisker_lo"),
-                    r6("whisker_hi").alias("whisker_hi"), "n_outliers")
+    return s.select(*[F.col(n).alias(c) for n, c in zip(names, by)],
+                    *[r6(c).alias(c) for c in (*measures, "whisker_lo", "whisker_hi")], "n_outliers")
+
+
+def quantiles(df: DataFrame, col: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """A6 for any quantiles: ``by``, ``n``, ``q`` and its exact ``value``, one row for each quantile."""
+    x = exact_quantiles(df, col, at, by)
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in at]).alias("q"), F.col("quantiles").alias("value")))
+    return x.select(*by, "n", pairs.alias("_p")).select(*by, "n", F.col("_p.q").alias("q"), r6("_p.value").alias("value"))
 
 
 def dataset_stats(combined: DataFrame, origin_col: str = "origin") -> DataFrame:

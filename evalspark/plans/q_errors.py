@@ -3,6 +3,8 @@ distributions (A1-A3, A5, A6)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evalspark.operators import errors as E
 from evalspark.operators import groups as G
 from evalspark.operators import stats as S
@@ -78,6 +80,33 @@ def q_a6(spark, sf):
     return S.five_number(_g1(spark, sf), "f1_macro", by=["model"])
 
 
+_LENGTHS = ("x", "select source, length(text) as n_chars from documents where text is not null")
+
+
+def _lengths(spark, sf):
+    return Fixtures(spark, sf).table("documents").select("source", F.char_length("text").alias("n_chars"))
+
+
+@register("A6_five_number_text_length", sql([], _LENGTHS, ("q", """
+select source, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.5) as median,
+       quantile_cont(n_chars, 0.75) as q3 from x group by source"""), final="""
+select q.source, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(q3 - q1, 6) as iqr,
+       round(cast(min(case when n_chars >= q1 - 1.5 * (q3 - q1) then n_chars end) as double), 6) as whisker_lo,
+       round(cast(max(case when n_chars <= q3 + 1.5 * (q3 - q1) then n_chars end) as double), 6) as whisker_hi,
+       count(case when n_chars < q1 - 1.5 * (q3 - q1) or n_chars > q3 + 1.5 * (q3 - q1) then 1 end) as n_outliers
+from x join q on x.source is not distinct from q.source group by q.source, q1, median, q3"""))
+def q_a6_length(spark, sf):
+    return S.five_number(_lengths(spark, sf), "n_chars", by=["source"])
+
+
+@register("A6_quantiles_text_length", sql([], _LENGTHS, final="""
+select source, n, cast(q as double) as q, round(cast(v as double), 6) as value from (
+select source, count(*) as n, unnest([0.01, 0.1, 0.5, 0.9, 0.99, 0.999]) as q,
+       unnest(quantile_cont(n_chars, [0.01, 0.1, 0.5, 0.9, 0.99, 0.999])) as v from x group by source) y"""))
+def q_a6_quantiles(spark, sf):
+    return S.quantiles(_lengths(spark, sf), "n_chars", (0.01, 0.1, 0.5, 0.9, 0.99, 0.999), by=["source"])
+
+
 @register("A1_value_counts_label", sql(["fx_samples"], final="""
 select label as value, count(*) as n from fx_samples where label is not null group by label"""))
 def q_a1(spark, sf):
