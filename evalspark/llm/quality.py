@@ -172,8 +172,10 @@ def features(texts: pa.Array) -> np.ndarray:
     if len(raw) > 3:
         code = ((shape[:-3] * 16 + shape[1:-2]) * 16 + shape[2:-1]) * 16 + shape[3:]
         col = 1 + ((code * 0x9E3779B1) >> 7) % (DIMENSIONS - 1)
-        row = np.repeat(np.arange(len(texts)), lengths)[:len(col)]
-        out += np.bincount(row * DIMENSIONS + col, minlength=len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        row = np.repeat(np.arange(len(texts)), lengths)
+        whole = row[:-3] == row[3:]  # a 4-gram lies in one text, with the separator behind it
+        at = row[:-3][whole] * DIMENSIONS + col[whole]
+        out += np.bincount(at, minlength=len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS)
     out /= np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1)
     own = w.row_of_word()
     same = (w.hash[1:] == w.hash[:-1]) & (own[1:] == own[:-1])
@@ -232,7 +234,8 @@ def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Label model from the votes on all rows, scorer from at most ``train_rows`` documents.
 
     The sample holds the first documents by a hash of their id, whatever
-    the size of the corpus; one task reads it. Null texts vote nothing. An
+    the size of the corpus; one task reads it. Null texts vote nothing and
+    are not in the sample; rows of equal ids are, each, within the bound. An
     empty table gives a model that scores 0.5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -245,9 +248,10 @@ def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     v = unpack(found, votes(pa.array(["x"])).shape[1])
     labels = LabelModel.fit(v, np.array([r["n"] for r in counted], dtype=float))
     order = F.xxhash64(F.lit(4), F.col("doc_id"))
-    picked = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(order).limit(train_rows)
+    docs = docs.where("doc_id is not null and text is not null")
+    picked = docs.select("doc_id").orderBy(order).limit(train_rows)
     sample = (docs.join(F.broadcast(picked.distinct()), "doc_id")  # train_rows ids
-              .repartition(1).sortWithinPartitions(order, "text").select("text"))
+              .orderBy(order, "text").limit(train_rows).select("text"))  # an id may have any number of rows
     rows = sample.mapInArrow(_train(labels), "col long, weight double").collect()
     weights = np.zeros(DIMENSIONS + 1)
     for r in rows:
