@@ -23,6 +23,8 @@ from evalspark.llm.words import Words, chunk_bytes, chunks, split_words
 #: Documents that the scorer is trained on at most, picked by a hash of their id.
 TRAIN_ROWS = 6_000
 DIMENSIONS = 4096
+#: Bytes and rows of texts whose dense features are made together: 2 MB a table of features at most.
+FEATURE_BYTES, FEATURE_ROWS = 200_000, 128
 STEPS, RATE, RIDGE = 150, 0.05, 1e-4
 KEEP = 0.5
 
@@ -183,6 +185,13 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def feature_slices(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Features of the rows in order, few rows at a time."""
+    for lo, hi in chunks(texts, FEATURE_BYTES):
+        for at in range(lo, hi, FEATURE_ROWS):
+            yield features(texts[at:min(hi, at + FEATURE_ROWS)])
+
+
 def fit_scorer(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Weights (the last one is the bias) of a logistic model for soft labels: Adam on the whole sample."""
     w, m, s = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -209,7 +218,8 @@ class QualityModel:
         return self.labels.posterior(v) if self.labels else np.full(len(v), 0.5)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features(texts) @ self.weights[:-1] + self.weights[-1], -35, 35)))
+        found = [x @ self.weights[:-1] + self.weights[-1] for x in feature_slices(texts)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *found]), -35, 35)))
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +233,7 @@ def _train(labels: LabelModel):
         x, y = [np.zeros((0, DIMENSIONS), dtype=np.float32)], [np.zeros(0)]
         for batch in batches:
             for lo, hi in chunks(batch.column(0)):
-                x.append(features(batch.column(0)[lo:hi]))
+                x += feature_slices(batch.column(0)[lo:hi])
                 y.append(labels.posterior(votes(batch.column(0)[lo:hi])))
         w = fit_scorer(np.concatenate(x), np.concatenate(y))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w)], names=["col", "weight"])
