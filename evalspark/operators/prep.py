@@ -97,13 +97,13 @@ def preview(df: DataFrame, n: int = 5, key: str = "row_id") -> DataFrame:
 
 def truncate_tokens(df: DataFrame, n: int, col: str = "text") -> DataFrame:
     """Word tokens cut at n: token count, kept count, whether the row
-    was cut and the last kept token."""
+    was cut and the last kept token (null for a row without tokens)."""
     toks = tokenize_col(F.col(col))
     x = df.withColumn("_t", toks)
     kept = F.slice("_t", 1, n)
     return x.select(*[c for c in df.columns if c != col], F.size("_t").alias("n_tokens"),
                     F.size(kept).alias("n_kept"), (F.size("_t") > n).alias("truncated"),
-                    F.element_at(kept, -1).alias("last_kept")).drop("_t")
+                    F.try_element_at(kept, F.lit(-1)).alias("last_kept")).drop("_t")
 
 
 def truncation_share(df: DataFrame, n: int, col: str = "text") -> DataFrame:
