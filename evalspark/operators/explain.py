@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import hash_key, r6, snippet
+from evalspark.operators.text import beside_rows
 from evalspark.session import reliable_checkpoint
 
 # Word split of the perturbation explainers: runs of non-word characters.
@@ -77,7 +78,8 @@ def linear_shap(features: DataFrame, coef: DataFrame, docs: DataFrame, key: str
     ``docs`` lists every document key."""
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     mean = features.groupBy("term").agg((F.sum("weight") / F.lit(n_docs)).alias("mean"))
-    cm = coef.join(mean, "term", "left").select("term", "coef", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    # read three times below, a pass over all features each: written once
+    cm = beside_rows(coef.join(mean, "term", "left").select("term", "coef", F.coalesce("mean", F.lit(0.0)).alias("mean")))
     s_all = cm.select(F.sum(F.col("coef") * F.col("mean"))).scalar()
     j = features.join(cm, "term")
     present = j.select(key, "term", (F.col("coef") * (F.col("weight") - F.col("mean"))).alias("phi"),

@@ -69,8 +69,9 @@ select d.doc_id, '<absent>', round(-((select sum(coef * mean) from cm) - coalesc
 from documents d left join (select row_id, sum(c_m) as s from pr group by row_id) p on p.row_id = d.doc_id"""))
 def q_x4a(spark, sf):
     docs = Fixtures(spark, sf).table("documents").select(F.col("doc_id").alias("row_id"), "text")
-    feats = T.tfidf(docs, max_features=50_000).select("row_id", "term", "weight")
-    coef = T.vocabulary(T.term_counts(docs), 50_000).select("term", _coef_col(F.col("term")).alias("coef"))
+    terms = T.vocabulary(T.term_counts(docs), 50_000)  # features and coefficients have the same terms
+    feats = T.tfidf(docs, max_features=50_000, terms=terms).select("row_id", "term", "weight")
+    coef = terms.select("term", _coef_col(F.col("term")).alias("coef"))
     out = X.linear_shap(feats, coef, docs.select("row_id"))
     return out.select("row_id", "term", r6("phi").alias("phi"))
 
