@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +43,36 @@ def lime_top_words(weights: DataFrame, n: int = 20) -> DataFrame:
     return s.select("direction", "word", r6("total").alias("total"), rank.alias("rank")).where(F.col("rank") <= n)
 
 
+def _strongest(weights: DataFrame, k: int, key: str) -> DataFrame:
+    """The rows of (key, pos, token, weight) that are among the k strongest of their key within an Arrow batch: no
+    other can be among the k strongest of all, so no other needs to be sorted or shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strength = np.abs(batch.column(3).cast(pa.float64()).to_numpy(zero_copy_only=False))
+            null = batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            below_nan = ~np.isnan(strength) | null  # descending: NaN, then numbers, then nulls
+            strength[null] = -1.0
+            pos = batch.column(1).cast(pa.int64()).fill_null(-2 ** 63).to_numpy(zero_copy_only=False)
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            order = np.lexsort((pos, -strength, below_nan, code))
+            starts = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(order) else np.empty(0, np.int64)
+            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+            yield batch.take(pa.array(np.sort(order[rank < k])))
+
+    x = weights.select(key, "pos", "token", "weight")
+    return x.mapInArrow(run, x.schema)
+
+
 def lime_digest(weights: DataFrame, k: int = 5, key: str = "row_id", examples: DataFrame | None = None,
                 label: str = "label", length: int = 100) -> DataFrame:
     """Per instance the k strongest words (by |weight|, ties: position)
     with their direction. With ``examples`` (key, text, label) every row
     also has the first ``length`` characters of its text and its true label; null
-    for an instance that is not among them."""
+    for an instance that is not among them. Tasks keep the k strongest words of their rows
+    before the words of an instance are brought together."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("weight").desc(), F.col("pos")))
     d = F.when(F.col("weight") > 0, "Stereotype").otherwise("Non-Stereotype")
-    out = weights.select(key, "token", r6("weight").alias("weight"), d.alias("direction"), rank.alias("rank")) \
+    out = _strongest(weights, k, key).select(key, "token", r6("weight").alias("weight"), d.alias("direction"), rank.alias("rank")) \
                  .where(F.col("rank") <= k)
     if examples is None:
         return out

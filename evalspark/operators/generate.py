@@ -1,7 +1,7 @@
 """Variant generation on the data side.
 
 The generator itself is a user callable run in Python workers through
-``mapInPandas`` (one call per row, errors caught per row); everything around
+``mapInArrow`` (one call per row, errors caught per row, batches in small parts); everything around
 it -- prompt building, response parsing, emitting variant rows, combining
 with the originals -- is built-in column logic.
 """
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from evalspark.session import small_parts
+
 # Response markers (accepted spellings) for the two variants.
 NEUTRAL_PREFIXES = ("NEUTRE:", "Neutre:")
 UNRELATED_PREFIXES = ("SANS_RAPPORT:", "Sans rapport:")
@@ -42,23 +44,25 @@ def generate(df: DataFrame, generator_factory: Callable[[], Callable[[str], str]
 
     ``generator_factory`` is called once per task (load a model or client
     there); the generator maps a prompt to a response. A failing row gets a
-    null response and the error text; the job goes on."""
+    null response and the error text; the job goes on. A worker holds the texts of
+    a small part of its batch at a time."""
     schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField("error", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gen = generator_factory()
-        for pdf in batches:
+        for part in (part for batch in batches for part in small_parts(batch)):
             res, err = [], []
-            for p in pdf[col]:
+            for p in part.column(part.schema.get_field_index(col)).to_pylist():
                 try:
                     res.append(None if p is None else gen(p))
                     err.append(None)
                 except Exception as e:  # noqa: BLE001 - one bad row must not stop the job
                     res.append(None)
                     err.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(**{out: res, "error": err})
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(res, pa.string()), pa.array(err, pa.string())],
+                                             names=[*part.schema.names, out, "error"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _last_marked(lines: Column, prefixes: Sequence[str]) -> Column:

@@ -91,5 +91,5 @@ union all select row_id, 'unrelated', unrelated, 'unrelated', grp from h where u
 @register("V2_generate", sql(["fx_samples"], *HALVES[:-1], final=HALVES[-1]))
 def q_v2(spark, sf):
     """Prompts of every sample through the offline generator, parsed back into variants."""
-    p = V.build_prompt(Fixtures(spark, sf).samples.select("row_id", "text", "grp"))
+    p = V.build_prompt(Fixtures(spark, sf).samples.select("row_id", "text", "grp")).select("row_id", "grp", "prompt")
     return V.to_variants(V.parse_response(V.generate(p, V.offline_generator_factory)))
