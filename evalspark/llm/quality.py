@@ -25,6 +25,8 @@ TRAIN_ROWS = 6_000
 DIMENSIONS = 4096
 #: Bytes and rows of texts whose dense features are made together: 2 MB a table of features at most.
 FEATURE_BYTES, FEATURE_ROWS = 200_000, 128
+#: Bytes of texts voted on together; the arrays of their words take many times as much.
+VOTE_BYTES = 500_000
 STEPS, RATE, RIDGE = 150, 0.05, 1e-4
 KEEP = 0.5
 
@@ -224,18 +226,21 @@ class QualityModel:
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi in chunks(batch.column(0)):
+        for lo, hi in chunks(batch.column(0), VOTE_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(batch.column(0)[lo:hi])))], names=["pattern"])
 
 
-def _train(labels: LabelModel):
+def _train(labels: LabelModel, train_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [np.zeros((0, DIMENSIONS), dtype=np.float32)], [np.zeros(0)]
+        # filled in place: no second copy, and one block that goes back to the system
+        x, n, y = np.empty((train_rows, DIMENSIONS), dtype=np.float32), 0, [np.zeros(0)]
         for batch in batches:
-            for lo, hi in chunks(batch.column(0)):
-                x += feature_slices(batch.column(0)[lo:hi])
+            for lo, hi in chunks(batch.column(0), VOTE_BYTES):
+                for part in feature_slices(batch.column(0)[lo:hi]):
+                    x[n:n + len(part)] = part
+                    n += len(part)
                 y.append(labels.posterior(votes(batch.column(0)[lo:hi])))
-        w = fit_scorer(np.concatenate(x), np.concatenate(y))
+        w = fit_scorer(x[:n], np.concatenate(y))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w)], names=["col", "weight"])
     return run
 
@@ -262,7 +267,7 @@ def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     picked = docs.select("doc_id").orderBy(order).limit(train_rows)
     sample = (docs.join(F.broadcast(picked.distinct()), "doc_id")  # train_rows ids
               .orderBy(order, "text").limit(train_rows).select("text"))  # an id may have any number of rows
-    rows = sample.mapInArrow(_train(labels), "col long, weight double").collect()
+    rows = sample.mapInArrow(_train(labels, train_rows), "col long, weight double").collect()
     weights = np.zeros(DIMENSIONS + 1)
     for r in rows:
         weights[r["col"]] = r["weight"]
@@ -272,7 +277,7 @@ def fit_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
 def _scored(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
+            for lo, hi in chunks(batch.column(1), VOTE_BYTES):
                 texts = batch.column(1)[lo:hi]
                 v = votes(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -296,7 +301,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 def _kept(model: QualityModel, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunks(batch.column(text)):
+            for lo, hi in chunks(batch.column(text), VOTE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(model.score(part.column(text)) >= KEEP))
     return run

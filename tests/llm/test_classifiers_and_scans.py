@@ -72,6 +72,31 @@ def test_votes_take_any_text():
     assert (v[:4] == 2).all()
 
 
+def test_quality_workers_hold_the_sample_once_and_few_words():
+    import tracemalloc
+
+    from evalspark.llm import quality as Q
+
+    texts = pa.array([prose(seed, 80) if seed % 2 else junk(seed) for seed in range(2000)])
+    v = votes(texts)
+    found, n = np.unique(Q.pattern(v), return_counts=True)
+    labels = LabelModel.fit(Q.unpack(found, v.shape[1]), n.astype(float))
+    batches = [pa.RecordBatch.from_arrays([texts[at:at + 500]], names=["text"]) for at in range(0, 2000, 500)]
+    tracemalloc.start()
+    weights = next(Q._train(labels, 2500)(iter(batches))).column("weight").to_numpy()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.6 * 2500 * Q.DIMENSIONS * 4
+    x = np.concatenate(list(Q.feature_slices(texts)))
+    assert np.abs(weights - Q.fit_scorer(x, labels.posterior(v))).max() < 1e-3
+    long = pa.RecordBatch.from_arrays([pa.array([prose(5, 80)] * 8000)], names=["text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in Q._patterns(iter([long]))) == 8000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert long.nbytes > 3_000_000 and most < 80_000_000, most
+
+
 def test_quality_on_the_given_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     out = score_quality(docs, fit_quality(docs)).join(labels, "doc_id").select("keep", "quality").collect()
