@@ -38,11 +38,26 @@ class KeyFilter:
         place = keys >> np.uint64(65 - self.bits.bit_length())
         return (self._bitmap.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def keep(self, rows: DataFrame, column: str) -> DataFrame:
-        """The rows whose key may be in the table."""
+    def keep(self, rows: DataFrame, column: str, held: bool = True) -> DataFrame:
+        """The rows whose key may be in the table, or the rows whose key is not."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(self.may_hold(keys)))
+                yield batch.filter(pa.array(self.may_hold(keys) == held))
 
         return rows.mapInArrow(run, rows.schema)
+
+
+#: Ids that are sent to every task in a join: 32 bytes each at most.
+BROADCAST_IDS = 1 << 20
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose ``column`` is not among ``ids`` (a written table of one column of that name). A few ids go to every
+    task; of more, a bitmap does, and only the rows that it may hold are shuffled."""
+    if ids.count() <= broadcast_ids:
+        return rows.join(F.broadcast(ids), column, "left_anti").select(*rows.columns)
+    place = F.xxhash64(column).alias("__place")
+    held, placed = KeyFilter(ids.select(place), "__place"), rows.select("*", place)
+    met = held.keep(placed, "__place").drop("__place").join(ids, column, "left_anti").select(*rows.columns)
+    return held.keep(placed, "__place", held=False).drop("__place").union(met)

@@ -30,6 +30,7 @@ from evalspark.llm.key_filter import KeyFilter
 from evalspark.llm.staging import staged
 from evalspark.llm.words import U64, chunks, mix, ngram_hashes, split_words
 
+U32 = np.uint32
 SHINGLE = 3
 PERCENT = 90
 SPARE = 3
@@ -118,29 +119,94 @@ def _sizes(shingle: int):
     return run
 
 
-def _keys(shingle: int, percent: int, repeated: KeyFilter | None = None):
-    """(key, set_id) of every text; with a filter, of the keys that it may hold, and their ``need`` and ``up``."""
+#: First bits of a key that name its part, and the keys that a task sorts at once. The next 32 bits are what is shuffled.
+PART_BITS = 10
+SORT_KEYS = 1 << 20
 
+
+def _packed(keys: np.ndarray) -> pa.RecordBatch:
+    """(part, keys): the leading bits of the keys, ascending in each part, as differences with their
+    bytes in planes, so that the upper planes are mostly zeros."""
+    lead = np.sort(keys >> U64(32 - PART_BITS))
+    part = (lead >> U64(32)).astype(np.int32)
+    at = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(lead))
+    low = lead.astype(U32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[at[:-1]]), pa.array([np.diff(low[a:b], prepend=U32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+                                            for a, b in zip(at, at[1:])], pa.binary())], names=["part", "keys"])
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T).view(U32)[:, 0]
+    return np.cumsum(steps, dtype=U32)
+
+
+def _leads(shingle: int, percent: int, firsts: KeyFilter | None):
+    """(part, keys) of all texts of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            texts = batch.column(0)
-            for lo, hi in chunks(texts):
-                found = []
-                for s in shingle_sets(texts[lo:hi], shingle):
-                    if len(s):
-                        own = block_keys(s, percent)
-                        if repeated is not None:
-                            keep = repeated.may_hold(own[0])
-                            own = tuple(x[keep] for x in own)
-                        found.append((set_id(s, 1), own))
-                if found:
-                    cols = [pa.array(np.concatenate([k for _, (k, _, _) in found]).view(np.int64)),
-                            pa.array(np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(k) for _, (k, _, _) in found]))]
-                    names = ["key", "set_id"]
-                    if repeated is not None:
-                        cols += [pa.array(np.concatenate([x[k] for _, x in found])) for k in (1, 2)]
-                        names += ["need", "up"]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+            for s in _sets_of(batch, shingle, firsts):
+                held.append(block_keys(s, percent)[0])
+                n += len(held[-1])
+                if n >= SORT_KEYS:
+                    yield _packed(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield _packed(np.concatenate(held))
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading bits (the others 0) that came more than once; rows sorted by part."""
+    part, held = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        low = np.sort(np.concatenate([np.zeros(0, dtype=U32), *held]))
+        low = np.unique(low[1:][low[1:] == low[:-1]]).astype(U64)
+        if len(low):
+            yield pa.RecordBatch.from_arrays([pa.array((low | U64(part << 32)) << U64(32 - PART_BITS)).view(pa.int64())], names=["key"])
+
+    for batch in batches:
+        for own, packed in zip(batch.column("part").to_pylist(), batch.column("keys")):
+            if own != part:
+                yield from flush()
+                part, held = own, []
+            held.append(_unpacked(packed.as_buffer()))
+    yield from flush()
+
+
+def _sets_of(batch: pa.RecordBatch, shingle: int, firsts: KeyFilter | None) -> Iterator[np.ndarray]:
+    """The sets that are not empty of the texts in the first column; with a filter, of those whose second column it may hold."""
+    if firsts is not None:
+        batch = batch.filter(pa.array(firsts.may_hold(batch.column(1).to_numpy(zero_copy_only=False).view(U64))))
+    texts = batch.column(0)
+    for lo, hi in chunks(texts):
+        yield from (s for s in shingle_sets(texts[lo:hi], shingle) if len(s))
+
+
+def _keys(shingle: int, percent: int, repeated: KeyFilter, firsts: KeyFilter | None):
+    """(key, set_id, need, up) of every text, of the keys that the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = [], 0
+            for s in _sets_of(batch, shingle, firsts):
+                own = block_keys(s, percent)
+                keep = repeated.may_hold(own[0])
+                found.append((set_id(s, 1), [x[keep] for x in own]))
+                n += int(keep.sum())
+                if n >= SORT_KEYS:
+                    yield table(found)
+                    found, n = [], 0
+            if found:
+                yield table(found)
+
+    def table(found: list) -> pa.RecordBatch:
+        key, need, up = (np.concatenate([x[k] for _, x in found]) for k in range(3))
+        ids = np.repeat(np.array([i for i, _ in found], dtype=np.int64), [len(x[0]) for _, x in found])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids, need, up)],
+                                          names=["key", "set_id", "need", "up"])
     return run
 
 
@@ -242,17 +308,20 @@ BLOCK_GRAMS = 500_000
 PAIR_ROWS = 64
 
 
-def candidates(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pair_rows: int = PAIR_ROWS) -> DataFrame:
+def candidates(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pair_rows: int = PAIR_ROWS,
+               firsts: KeyFilter | None = None) -> DataFrame:
     """(a, b): edges between the sets of ``text`` whose connected components hold every two sets that
-    link. Pairs of sets that share as many keys as a link must, and the sets of the keys of more than ``pair_rows``."""
-    keys = texts.mapInArrow(_keys(shingle, percent), "key long, set_id long")
-    repeated = staged(keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"))
-                      .where("hub < top").select("key", "hub"), "keys")
-    # most keys are of one set: they are dropped in the tasks that make them
-    members = staged(texts.mapInArrow(_keys(shingle, percent, KeyFilter(repeated)), "key long, set_id long, need int, up boolean")
-                     .distinct().join(repeated.select("key").hint("merge"), "key", "left_semi"), "members")
-    common = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > pair_rows)
-                    .select("key").join(repeated, "key"), "common-keys")
+    link. Pairs of sets that share as many keys as a link must, and the sets of the keys of more than ``pair_rows``.
+
+    ``firsts``: a filter on a second column that one text of every set passes at least; others need not be read.
+    Most keys are of one set: only the leading bits of keys are shuffled to find those that come twice (a
+    key that comes again in a copy, or has the bits of another, only costs rows), and the tasks drop all others."""
+    twice = staged(texts.mapInArrow(_leads(shingle, percent, firsts), "part int, keys binary").repartition("part")
+                   .sortWithinPartitions("part").mapInArrow(_repeated, "key long"), "keys")
+    members = staged(texts.mapInArrow(_keys(shingle, percent, KeyFilter(twice), firsts), "key long, set_id long, need int, up boolean")
+                     .distinct(), "members")
+    common = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("set_id").alias("hub"))
+                    .where(F.col("rows") > pair_rows).select("key", "hub"), "common-keys")
     few = (members.join(common, "key", "left_anti").groupBy("key")
            .agg(F.collect_list(F.struct("set_id", "need", "up")).alias("of")).where(F.size("of") > 1))
 
@@ -288,8 +357,9 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = (sets.where("set_id is not null and doc_id is not null").groupBy("set_id")
                .agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("size"),
                     F.count(F.lit(1)).alias("copies")))
-    texts = docs.where("doc_id is not null and text is not null").select("text")
-    near = components(candidates(texts, shingle, percent), "a", "b")
+    texts = docs.where("doc_id is not null and text is not null").select("text", F.xxhash64("doc_id").alias("doc"))
+    firsts = KeyFilter(classes.select(F.xxhash64("first_doc").alias("key")))
+    near = components(candidates(texts, shingle, percent, firsts=firsts), "a", "b")
     members = staged(near.select(F.col("node").alias("set_id"), F.col("component").alias("candidates"))
                      .join(classes, "set_id"), "candidates")
     # a row block meets every row block of its candidate group: a copy of the row for each
@@ -300,7 +370,10 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("set_id", "first_doc", "copies", "candidates", "part",
                      F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")))
-    texts = (docs.join(members.select(F.col("first_doc").alias("doc_id"), "set_id").hint("merge"), "doc_id")
+    # most texts are no candidates: they are dropped before the shuffle
+    wanted = KeyFilter(members.select(F.xxhash64("first_doc").alias("key")))
+    texts = (wanted.keep(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("doc")), "doc").drop("doc")
+             .join(members.select(F.col("first_doc").alias("doc_id"), "set_id").hint("merge"), "doc_id")
              .select("set_id", "text").mapInArrow(_own_texts(shingle), "set_id long, text string")
              # rows with equal ids: each class enters the product once, with a text of its own
              .groupBy("set_id").agg(F.min("text").alias("text")))

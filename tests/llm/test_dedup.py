@@ -290,3 +290,36 @@ def test_key_filter_keeps_all_keys_of_its_table(spark):
     assert found[:1000].all() and found[1000:].mean() < 0.2
     empty = KeyFilter(spark.createDataFrame([], "key long"))
     assert not empty.may_hold(keys).any()
+
+
+def test_few_bytes_a_key_are_shuffled_to_find_the_repeated_ones():
+    from evalspark.llm.ngram_join import PART_BITS, _packed, _repeated
+
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 2_000_000, dtype=np.uint64)
+    twice = keys[999_000:1_001_000]  # half of them come again in the same task
+    tasks = [np.concatenate([keys[:1_000_000], keys[999_000:1_000_000]]), np.concatenate([keys[1_000_000:], twice[1000:]])]
+    tasks = [_packed(tasks[0]), _packed(tasks[1]), _packed(keys[5:6])]
+    alone = [b.column("key").to_pylist() for b in _repeated(iter([_packed(np.repeat(keys[:1], 2))]))]
+    assert [len(k) for k in alone] == [1]  # a part that a single task holds
+    planes = b"".join(p for t in tasks[:2] for p in t.column("keys").to_pylist())
+    assert len(planes) == 4 * (len(keys) + 2000) and len(pa.compress(planes, "lz4", asbytes=True)) < 3.5 * len(keys)
+    found = pa.Table.from_batches(tasks).sort_by("part").to_batches(max_chunksize=100)
+    found = np.concatenate([b.column("key").to_numpy() for b in _repeated(iter(found))]).view(np.uint64)
+    want = {k >> np.uint64(32 - PART_BITS) << np.uint64(32 - PART_BITS) for k in [*twice, keys[5]]}
+    assert want <= set(found) and len(found) <= len(want) + 5  # a few keys have the leading bits of another
+
+
+def test_rows_without_ids_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from evalspark.llm.key_filter import without
+
+    rows = spark.createDataFrame([(k if k % 7 else None, f"t{k}") for k in range(500)] + [(3, "again"), (4, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(0, 500, 3)], "doc_id long")
+    want = sorted((r.text or "" for r in rows.collect() if r.doc_id is None or r.doc_id % 3))
+    for bound in (1000, 10):
+        out = without(rows, ids, "doc_id", bound)
+        assert out.columns == rows.columns and sorted(r.text or "" for r in out.collect()) == want
+    assert sorted(r.text or "" for r in without(rows, ids.limit(0), "doc_id", -1).collect()) == sorted(r.text or "" for r in rows.collect())
+    plan = without(rows.where(F.col("text") != ""), ids, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -72,3 +72,17 @@ def test_lines_of_a_group_of_copies_stay(spark):
     assert got == {i: t.removeprefix("menu\n") for i, t, _ in rows}  # the line of all texts goes from every row
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, out, SF).select("doc_id").collect()}
     assert left == {0, *range(100, 160)}
+
+
+def test_near_duplicates_do_not_shuffle_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "ngram_jaccard_join", lambda docs, **limits: docs.select(
+        "doc_id", (docs["doc_id"] - docs["doc_id"] % 2).alias("component_id")))
+    docs = frame(spark, [(k, prose(k, 30)) for k in range(40)])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more ids than Spark sends by itself
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
